@@ -1,7 +1,61 @@
-"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing."""
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. A runner writes each stage's result as Parquet and reads it back as the next one's input. Stages accept what
+the operators accept: nulls in any column, empty and very long texts, repeated rows, empty tables.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from arcweave.llm import mixing, neardup, packing, pii, toxicity
+from arcweave.llm.common import durable, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return neardup.keep_one(docs).select(*COLUMNS)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become [KIND]."""
+    return pii.redact(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token windows."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("personal_data", mask_personal_data),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # compression and tokenisation are beyond SQL; tests/llm holds brute-force versions
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs)
+    return docs
