@@ -33,3 +33,12 @@ def star_components(edges: DataFrame) -> DataFrame:
         if total == before:
             break
     return labels
+
+
+def wcc(g, undecided: DataFrame | None = None) -> DataFrame:
+    """Weakly connected components of the undecided vertices: id, wcc (the least member)."""
+    from arcweave.operators.trim import live_edges
+
+    vertices = (g.vertices if undecided is None else undecided).select("id")
+    found = star_components(live_edges(g.edges, undecided))
+    return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("wcc"))
