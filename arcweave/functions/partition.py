@@ -93,7 +93,7 @@ class Partition:
 
     def _begin(self, rank: Column) -> Column:
         begins = F.array(*[F.lit(lo).cast("long") for lo, _ in self.slices()])
-        return F.element_at(begins, (rank + 1).cast("int"))
+        return F.get(begins, rank.cast("int"))
 
     def to_global(self, rank: Column, local: Column) -> Column:
         p, b = self.ranks, self.block
