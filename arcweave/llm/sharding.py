@@ -93,20 +93,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, load:
     arc = (F.col("first") + F.size(F.filter("bounds", lambda x: x < F.col("at")))) % len(points)
     keys = keys.withColumn("arc", arc.cast("int")).withColumn("cell", F.pmod(F.xxhash64("at", "text_crc32"), F.lit(cells)).cast("int")).drop("bucket", "first", "bounds")
     counted = {(r["arc"], r["cell"]): r["count"] for r in keys.groupBy("arc", "cell").count().collect()}  # arcs x cells numbers at most
-    per_arc, before = [0] * len(points), {}
+    per_arc, before = [0] * len(points), [[0] * cells for _ in points]
     for (a, c), n in sorted(counted.items()):
-        before[a, c] = per_arc[a]
         per_arc[a] += n
-    intervals = walk(per_arc, owners, capacities(sum(per_arc), shards, load))
+    for a in range(len(points)):
+        for c in range(1, cells):
+            before[a][c] = before[a][c - 1] + counted.get((a, c - 1), 0)
     by_arc: dict[int, list] = {}
-    for a, first, n, s, slot in intervals:
+    for a, first, n, s, slot in walk(per_arc, owners, capacities(sum(per_arc), shards, load)):
         by_arc.setdefault(a, []).append({"first": first, "upto": first + n, "shard": s, "slot": slot})
-    steps = "array<struct<first: long, upto: long, shard: int, slot: long>>"
-    cells_json = json.dumps([{"arc": a, "cell": c, "base": n, "steps": [x for x in by_arc[a] if x["upto"] > n and x["first"] < n + counted[a, c]]} for (a, c), n in before.items()])
-    table = inline_table(spark, cells_json, f"arc int, cell int, base long, steps {steps}")
+    plan = json.dumps([{"arc": a, "base": before[a], "steps": steps} for a, steps in by_arc.items()])
+    table = inline_table(spark, plan, "arc int, base array<long>, steps array<struct<first: long, upto: long, shard: int, slot: long>>")
     rank = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("at", "doc_id", "text_crc32", "size")) - 1
-    placed = keys.withColumn("rank", rank).join(F.broadcast(table), ["arc", "cell"])  # arcs x cells rows at most
-    placed = placed.withColumn("rank", F.col("rank") + F.col("base"))
+    placed = keys.withColumn("rank", rank).join(F.broadcast(table), "arc")  # one row per arc
+    placed = placed.withColumn("rank", F.col("rank") + F.element_at("base", F.col("cell") + 1))
     step_of = F.element_at(F.filter("steps", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["upto"])), 1)
     return placed.withColumn("step", step_of).select("doc_id", "size", "text_crc32", F.col("step.shard").alias("shard"), (F.col("step.slot") + F.col("rank") - F.col("step.first")).alias("slot"))
 
