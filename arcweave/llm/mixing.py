@@ -26,6 +26,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BINS = 4096
+SALT = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,21 +87,26 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = durable(goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "b_source"))
     at = _crossing(keyed, goal.filter("budget > 0").select("b_source", "budget"), "bin").select(F.col("source").alias("c_source"), "cross", "below")
-    goal = goal.join(at, goal["b_source"].eqNullSafe(at["c_source"]), "left").drop("c_source")
-    rows = keyed.join(goal, keyed["source"].eqNullSafe(goal["b_source"])).drop("b_source")
+    goal = durable(goal.join(at, goal["b_source"].eqNullSafe(at["c_source"]), "left").drop("c_source"))
+    # a source's row meets its documents in SALT places, so no task holds a source
+    salted = goal.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALT)).cast("int"))
+    rows = rows.join(salted, rows["source"].eqNullSafe(salted["b_source"]) & (rows["salt"] == salted["b_salt"])).drop("b_source", "salt", "b_salt")
+    crossing = F.coalesce(F.col("bin") == F.col("cross"), F.lit(False))
+    clear = rows.filter(~crossing).withColumn("picked", F.when((F.col("budget") > 0) & (F.col("cross").isNull() | (F.col("bin") < F.col("cross"))), 1).otherwise(0))
     # second level: only the crossing bin of each source
-    inside = rows.filter("bin = cross")
+    inside = rows.filter(crossing)
     w = Window.partitionBy("source").orderBy("fine")
     steps = inside.groupBy("source", "fine").agg(F.sum("size").alias("s"), F.first("budget").alias("budget"), F.first("below").alias("below")).withColumn("upto", F.col("below") + F.sum("s").over(w))
     fine = steps.filter((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("s") < F.col("budget"))).groupBy("source").agg(F.min("fine").alias("f_cross"), F.min(F.col("upto") - F.col("s")).alias("f_below")).withColumnRenamed("source", "f_source")
-    rows = rows.join(fine, rows["source"].eqNullSafe(fine["f_source"]), "left").drop("f_source")
-    last = (F.col("bin") == F.col("cross")) & (F.col("fine") == F.col("f_cross"))
-    clear = rows.filter(~F.coalesce(last, F.lit(False))).withColumn("picked", F.when((F.col("budget") > 0) & (F.col("cross").isNull() | (F.col("bin") < F.col("cross")) | ((F.col("bin") == F.col("cross")) & (F.col("fine") < F.col("f_cross")))), 1).otherwise(0))
+    inside = inside.join(fine, inside["source"].eqNullSafe(fine["f_source"]), "left").drop("f_source")
+    last = F.coalesce(F.col("fine") == F.col("f_cross"), F.lit(False))
+    sure = inside.filter(~last).withColumn("picked", F.coalesce(F.col("fine") < F.col("f_cross"), F.lit(True)).cast("int"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = rows.filter(last).withColumn("upto", F.col("f_below") + F.sum("size").over(order))
+    tail = inside.filter(last).withColumn("upto", F.col("f_below") + F.sum("size").over(order))
     near = (F.col("upto") <= F.col("budget")) | ((F.col("upto") - F.col("size") < F.col("budget")) & (F.col("upto") - F.col("budget") <= F.col("budget") - F.col("upto") + F.col("size")))
     tail = tail.withColumn("picked", near.cast("int")).drop("upto")
-    out = clear.unionByName(tail)
+    out = clear.unionByName(sure, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
     return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("picked"))).select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", "key", "taken")
 
 
