@@ -7,7 +7,7 @@ labeler's reliability from the vote patterns of all documents, and a final logis
 trained on the resulting posteriors. A candidate that the classifier accepts becomes a span.
 
 The corpus pass returns only counts per (votes, features) pattern; there are at most
-3^5 votes x 8 kinds x 16 shapes of these whatever the input, so what reaches the driver is bounded.
+3^5 votes x 8 kinds x 32 shapes of these whatever the input, so what reaches the driver is bounded.
 
 Edge cases: a null text counts as empty and has no spans; a null id is carried through; repeated rows are
 each answered; an empty table gives an empty result; extra columns are ignored (``redact`` keeps them).
@@ -40,7 +40,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{2,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\+[0-9]{1,3}[\x20-])?\(?[0-9]{2,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? ((?:[A-ZÀ-Þ][a-zß-ÿ]+)(?: [A-ZÀ-Þ][a-zß-ÿ]+){0,2})")
@@ -165,11 +165,11 @@ def pattern(text: str, span: tuple[str, int, int], strict: bool) -> int:
     code = 0
     for v in votes(text, *span, strict):
         code = code * 3 + v + 1
-    return (code * 8 + KINDS.index(span[0])) * 16 + shape_code(text, span[1], span[2])
+    return ((code * 8 + KINDS.index(span[0])) * 2 + strict) * 16 + shape_code(text, span[1], span[2])
 
 
 def _decode(patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shape, rest = patterns % 16, patterns // 16
+    shape, rest = patterns % 16, patterns // 32
     kind, code = rest % 8, rest // 8
     v = np.empty((len(patterns), 5), int)
     for j in range(4, -1, -1):
@@ -205,8 +205,9 @@ class SpanModel:
 def fit(counts: dict[int, int], rounds: int = 50) -> SpanModel:
     """EM over vote patterns, then weighted logistic regression on the posteriors.
 
-    Starts from the majority vote; Dirichlet smoothing keeps every labeler better than chance at the
-    start, so the two classes keep their meaning. With no candidates at all the smoothing alone decides.
+    Base spans are known to be personal data: they inform the labelers' reliabilities, while the share of personal data
+    is that among the other candidates. Starts from the majority vote; Dirichlet smoothing keeps every labeler better than chance at
+    the start, so the two classes keep their meaning. With no candidates at all the smoothing alone decides.
     """
     p = np.array(sorted(counts), int)
     n = np.array([counts[x] for x in sorted(counts)], float)
@@ -215,16 +216,20 @@ def fit(counts: dict[int, int], rounds: int = 50) -> SpanModel:
     if len(p):
         v, _, _ = _decode(p)
         onehot = (v[:, :, None] == np.arange(3)) * 1.0
-        q = 1 / (1 + np.exp(-(v - 1).sum(1) * 1.0))
+        base = p // 16 % 2 == 1
+        open_ = n * ~base
+        q = np.where(base, 1.0, 1 / (1 + np.exp(-(v - 1).sum(1) * 1.0)))
         strength = 0.02 * n.sum() + 4
         for _ in range(rounds):
             for c, w in ((0, n * (1 - q)), (1, n * q)):
                 t = np.einsum("i,ijk->jk", w, onehot) + strength * start[c]
                 theta[c] = t / t.sum(1, keepdims=True)
-            prior = ((n * q).sum() + 1) / (n.sum() + 2)
+            prior = ((open_ * q).sum() + 2) / (open_.sum() + 4)
             log = np.einsum("ijk,cjk->ic", onehot, np.log(theta)) + np.log([1 - prior, prior])
-            q = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
-        x, w = _features(p), n / n.sum()
+            q = np.where(base, 1.0, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30))))
+        # base spans weigh as much as all other candidates together
+        w = np.where(base, n / max(1.0, (n * base).sum()), n / max(1.0, open_.sum()))
+        x, w = _features(p), w / w.sum()
     else:
         x, w, q = np.zeros((0, 22)), np.zeros(0), np.zeros(0)
     beta = np.zeros(22)
