@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from arcweave.llm.common import text_or_empty
 
 SAMPLE = 3000
-WINDOW = 8  # words
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
+WINDOW = 4  # words
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
 STEPS = (3, 5, 7, 9, 12)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _REPEATS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # the last header field of a trained dictionary
@@ -83,7 +83,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False)
+    p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False)
     if not content:
         return zstandard.ZstdCompressor(compression_params=p)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
