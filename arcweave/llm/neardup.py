@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import durable, text_or_empty
@@ -192,10 +192,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of every class the document with the smallest id (documents without an id stay unless a copy has one)."""
+    """Of every class one document, the one with the smallest id; of repeated rows one.
+
+    Documents without an id stay, one of each text, if no document with an id has that text.
+    """
     best = classes(docs, threshold).groupBy("class_id").agg(F.min("doc_id").alias("_keep")).filter("_keep IS NOT NULL").select("_keep").distinct()
-    kept = docs.join(best, docs["doc_id"] == best["_keep"], "left_semi")
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    one = lambda rows, key: rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter("_row = 1").drop("_row")
+    kept = one(docs.join(best, docs["doc_id"] == best["_keep"], "left_semi"), "doc_id")
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.head(1):
+        text_key = F.sha2(text_or_empty("text").cast("binary"), 256).alias("_text")
+        named = docs.filter("doc_id IS NOT NULL").select(text_key).distinct()
+        kept = kept.unionByName(one(nameless.select("*", text_key).join(named, "_text", "left_anti"), "_text").drop("_text"))
+    return kept.select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
