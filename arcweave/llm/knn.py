@@ -151,6 +151,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
             return _search_all(c, q, k)
 
         keys = ["dim", "shard", "block"]
+        queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # names of their own beside the candidates'
         found = first.unionByName(cands.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(away, _OUT))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best"))  # at most k rows per query and shard
