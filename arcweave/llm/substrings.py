@@ -7,12 +7,16 @@ digits, and a group that is down to one member leaves after each pass:
    neighbours mostly share one, so consecutive windows with one minimiser travel as one run (about one row for 43 bytes).
 2. second digit: the whole text of the run. Runs with equal text hold pairwise equal windows: the first run keeps
    them, all others give them up, without looking at single windows.
-3. last digit: the 100 bytes themselves (a 128-bit digest), for the windows of runs whose minimiser has several texts
-   or that overlap themselves. The equal groups are exactly the repeated windows; all but the first give their bytes up.
+3. third digit: for the windows of runs whose minimiser has several texts (or that overlap themselves), the half
+   window beside the minimiser. Windows with most bytes left of it are keyed by the 42 bytes before it, the others by
+   the 42 after it, and travel as pieces of text.
+4. last digit: the 100 bytes themselves (a 128-bit digest). Pieces of rarely shared keys are sorted by it in groups of bounded size;
+   keys shared by more than ``KEY_LIMIT`` pieces go as one row per window. The equal groups are exactly the
+   repeated windows; all but the first give their bytes up.
 
 "First" means smaller document id, then earlier start. Every pass is a grouped minimum, aggregated before the
 shuffle, and a join back that Spark can split at hot keys, so a passage that very many documents share is
-never in one task. Texts travel twice, by document id, for passes 3 and the cut.
+never in one task. Texts travel twice, by document id, for pass 3 and the cut.
 
 Edge cases: null text is empty; texts shorter than a window keep everything; rows of one id with different
 texts are ordered by a hash of the text; identical rows count as one document (both keep the same bytes); a null id sorts first; an
@@ -32,6 +36,8 @@ from arcweave.llm.common import durable, text_or_empty
 
 WIDTH = 100
 GRAM = 16
+GROUP = 8192  # pieces to a group
+KEY_LIMIT = 32_768  # pieces of one key that may stay in a group
 _CHUNK = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -140,29 +146,95 @@ def _run_rows(width: int, gram: int):
 _RUN_DDL = "h long, c long, uid long, tag long, a int, b int, own boolean"
 
 
-def _window_rows(width: int):
-    """Digests of the windows of the listed runs."""
+def _pieces_of(data: np.ndarray, runs: list, width: int, gram: int):
+    """Sub-runs of one document: (side, start, stop of text, start of the half beside the gram).
+
+    A window holds its minimiser gram and at least half of its other bytes on one side of it. Windows with that half on the
+    left (right) form one sub-run per gram, keyed by the half next to the gram: equal windows fall under equal keys.
+    """
+    half = (width - gram) // 2
+    raw = np.ascontiguousarray(data)
+    for r in runs:
+        a, b = r["a"], r["b"]
+        part = raw[a : b + width]
+        word = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,))
+        h = _mix((word[: len(part) - gram + 1] * _M1) ^ _mix(word[gram - 8 :] * _M3 + _M1))
+        at = a + np.flatnonzero(h.view(np.int64) == r["h"])
+        s = a
+        while s <= b:
+            p = int(at[np.searchsorted(at, s)])  # the first occurrence in window s
+            stop = min(b, p)
+            left = min(stop, p - half)
+            if s <= left:
+                yield 0, s, left + width, p - half
+            if max(s, left + 1) <= stop:
+                yield 1, max(s, left + 1), stop + width, p + gram
+            s = stop + 1
+
+
+def _piece_rows(width: int, gram: int):
+    """Sub-runs with their text and key."""
+    half = (width - gram) // 2
 
     def run(batches):
-        powers = _Powers()
         for batch in batches:
-            out = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for uid, tag, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
                 runs = runs.as_py()
-                if not runs:
-                    continue
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                s = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in runs]))
-                lo, hi = int(s[0]), int(s[-1]) + width
-                part = data[lo:hi]
-                out[0].append(powers.ranges(part, s - lo, s - lo + width, _P))
-                out[1].append(powers.ranges(part, s - lo, s - lo + width, _Q))
-                out[2].append(np.full(len(s), uid.as_py(), np.int64))
-                out[3].append(np.full(len(s), tag.as_py(), np.int64))
-                out[4].append(s.astype(np.int32))
-            if out[0]:
-                w1, w2, u, t, s = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(u), pa.array(t), pa.array(s)], ["w1", "w2", "uid", "tag", "s"])
+                if runs:
+                    raw = text.as_py().encode()
+                    for side, lo, hi, near in _pieces_of(np.frombuffer(raw, np.uint8), runs, width, gram):
+                        key = hashlib.blake2b(raw[near : near + half], digest_size=8, salt=bytes([side])).digest()
+                        for col, x in zip(out, (int.from_bytes(key, "little", signed=True), uid.as_py(), tag.as_py(), lo, raw[lo:hi]), strict=True):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["key", "uid", "tag", "a", "piece"])
+
+    return run
+
+
+def _windows_of(uid, tag, a, pieces: list[bytes], width: int, powers: _Powers):
+    """All windows of some pieces: two digests, document, start."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    n = np.array([len(p) for p in pieces], np.int64)
+    k = n - width + 1
+    inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    lo = np.repeat(np.cumsum(n) - n, k) + inner
+    w1, w2 = (powers.ranges(data, lo, lo + width, p) for p in (_P, _Q))
+    return w1, w2, np.repeat(uid, k), np.repeat(tag, k), np.repeat(a, k).astype(np.int64) + inner
+
+
+def _repeats_in(width: int):
+    """Later occurrences among the pieces of one group of keys, as ranges of starts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, tag, a = (table.column(c).to_numpy() for c in ("uid", "tag", "a"))
+        w1, w2, u, t, s = _windows_of(uid, tag, a, table.column("piece").to_pylist(), width, _Powers())
+        order = np.lexsort((s, t, u, w2, w1))
+        w1, w2, u, t, s = w1[order], w2[order], u[order], t[order], s[order]
+        again = np.flatnonzero((w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])) + 1
+        u, t, s = u[again], t[again], s[again]
+        order = np.lexsort((s, t, u))
+        u, t, s = u[order], t[order], s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1 if len(s) else first
+        return pa.table({"uid": pa.array(u[first], pa.int64()), "tag": pa.array(t[first], pa.int64()), "a": pa.array(s[first].astype(np.int32)), "b": pa.array(s[last].astype(np.int32))})
+
+    return run
+
+
+def _window_rows(width: int):
+    """The windows of pieces as rows, for keys that too many pieces share."""
+
+    def run(batches):
+        powers = _Powers()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                uid, tag, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "tag", "a"))
+                w1, w2, u, t, s = _windows_of(uid, tag, a, part.column("piece").to_pylist(), width, powers)
+                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(u, pa.int64()), pa.array(t, pa.int64()), pa.array(s.astype(np.int32))], ["w1", "w2", "uid", "tag", "s"])
 
     return run
 
@@ -192,32 +264,39 @@ def _cut(width: int, keep_text: bool):
 _NULL = -(2**63)
 
 
-def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key_limit: int = KEY_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(documents, covered): covered has uid, tag, a, b, ranges of window starts with an earlier equal window."""
     text = text_or_empty("text")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("uid"), F.xxhash64(text).alias("tag"), text.alias("text"))
     rows = base.mapInArrow(_run_rows(width, gram), _RUN_DDL)
     # pass 1: minimisers that occur more than once
-    often = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("any_own"), (F.min("c") != F.max("c")).alias("several")).filter("n > 1 OR any_own")
-    live = durable(rows.join(often.select("h", (F.col("several") | F.col("any_own")).alias("deeper")), "h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("n > 1 OR any_own")
+    live = durable(rows.join(often.select("h", "any_own"), "h").drop("own"))
     # pass 2: equal texts of runs
     place = F.struct("uid", "tag", "a", "b")
-    heads = live.groupBy("h", "c").agg(F.min(place).alias("head"), F.max("deeper").alias("deeper"))
-    heads = durable(heads)
+    heads = durable(live.groupBy("h", "c").agg(F.min(place).alias("head"), F.max("any_own").alias("any_own")))
     later = live.select("h", "c", "uid", "tag", "a", "b").join(heads.select("h", "c", "head"), ["h", "c"]).filter(place != F.col("head")).select("uid", "tag", "a", "b")
-    # pass 3: windows of the first runs whose minimiser has other texts too
-    deep = heads.filter("deeper").select("head.uid", "head.tag", "head.a", "head.b").groupBy("uid", "tag").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    held = base.join(deep, ["uid", "tag"], "left").select("uid", "tag", "text", "runs")
-    windows = durable(held.mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag long, s int"))
+    # pass 3: the first runs whose minimiser has other texts too, by gram and half a window beside it
+    deeper = heads.groupBy("h").agg((F.count("*") > 1).alias("several"), F.max("any_own").alias("any_own")).filter("several OR any_own").select("h")
+    deep = heads.join(deeper, "h").groupBy("head.uid", "head.tag").agg(F.collect_list(F.struct("h", "head.a", "head.b")).alias("runs"))
+    held = base.join(deep, ["uid", "tag"]).select("uid", "tag", "text", "runs")
+    pieces = durable(held.mapInArrow(_piece_rows(width, gram), "key long, uid long, tag long, a int, piece binary"))
+    counts = pieces.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = pieces.join(counts, "key")
+    # pass 4: whole windows; keys that many pieces share as rows, the others in groups of bounded size
+    groups = max(1, (pieces.count() or 0) // GROUP)
+    few = shared.filter(F.col("n") <= key_limit).withColumn("part", F.pmod("key", F.lit(groups)))
+    found = few.select("part", "uid", "tag", "a", "piece").groupBy("part").applyInArrow(_repeats_in(width), "uid long, tag long, a int, b int")
+    windows = durable(shared.filter(F.col("n") > key_limit).select("uid", "tag", "a", "piece").mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag long, s int"))
     at = F.struct("uid", "tag", "s")
     firsts = windows.groupBy("w1", "w2").agg(F.min(at).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(firsts, ["w1", "w2"]).filter(at != F.col("head")).select("uid", "tag", F.col("s").alias("a"), F.col("s").alias("b"))
-    return base, later.unionByName(again)
+    return base, later.unionByName(found).unionByName(again)
 
 
-def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False, key_limit: int = KEY_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes)."""
-    base, covered = repeated_runs(docs, width, gram)
+    base, covered = repeated_runs(docs, width, gram, key_limit)
     spans = covered.groupBy("uid", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     held = base.join(spans, ["uid", "tag"], "left").select("uid", "tag", "text", "spans")
     ddl = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
