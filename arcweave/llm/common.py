@@ -25,3 +25,9 @@ def inline_table(spark: SparkSession, rows_json: str, ddl: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def strings(column, step: int = 512):
+    """The values of an Arrow column, turned into Python objects ``step`` at a time to bound memory."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import durable, text_or_empty
+from arcweave.llm.common import durable, strings, text_or_empty
 from arcweave.operators.components import star_components
 
 WORDS = 5
@@ -57,7 +57,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -95,7 +95,7 @@ def _sign(batches):
     memo = _Words()
     for batch in batches:
         keys = []
-        for text in batch.column(2).to_pylist():
+        for text in strings(batch.column(2)):
             g = grams(text, WORDS, memo)
             keys.append(band_keys(g, a, b).view(np.int64).tolist() if len(g) else [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["digest", "doc_id", "keys"])

@@ -107,9 +107,8 @@ def tokenised(docs: DataFrame, groups: int, path: str | None = None) -> DataFram
 
         encoder, end = WordBpe(path), np.array([END_ID], np.uint16)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for at in range(0, len(texts), 512):
-                ids = [np.concatenate([x, end]).astype("<u2").tobytes() for x in encoder.encode(texts[at : at + 512])]
+            for at in range(0, b.num_rows, 512):
+                ids = [np.concatenate([x, end]).astype("<u2").tobytes() for x in encoder.encode(b.column(2).slice(at, 512).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), b.column(1).slice(at, 512), pa.array(ids, pa.binary())], ["doc_id", "part", "ids"])
 
     text = text_or_empty("text")

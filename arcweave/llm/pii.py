@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import text_or_empty
+from arcweave.llm.common import strings, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_id", "name")
@@ -244,7 +244,7 @@ def fit(counts: dict[int, int], rounds: int = 50) -> SpanModel:
 def _count_patterns(batches):
     for b in batches:
         seen: Counter = Counter()
-        for text in b.column(0).to_pylist():
+        for text in strings(b.column(0)):
             base = base_spans(text)
             for s in base:
                 seen[pattern(text, s, True)] += 1
@@ -282,7 +282,7 @@ def detect(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_i
     def run(batches):
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for text in strings(b.column(1)):
                 base, extra = find(text, model)
                 spans = [(*s, True) for s in base] + [(*s, False) for s in extra]
                 spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
@@ -300,7 +300,7 @@ def digest(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in strings(b.column(1)):
                 base, extra = find(text, model)
                 n = Counter(k for k, _, _ in base)
                 sha = hashlib.sha256(joined(base).encode()).hexdigest()
@@ -319,7 +319,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None, text_col: str = "tex
     def run(batches):
         for b in batches:
             out = []
-            for text in b.column(text_col).to_pylist():
+            for text in strings(b.column(text_col)):
                 if text is not None:
                     base, extra = find(text, model)
                     parts, at = [], 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import text_or_empty
+from arcweave.llm.common import strings, text_or_empty
 
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("vcs", "registry", "jwt", "pem")
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches):
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for text in strings(b.column(1)):
                 base, extra = find(text)
                 spans = sorted([(*s, True) for s in base] + [(*s, False) for s in extra], key=_order)
                 out.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans])
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _digest_batches(batches):
     for b in batches:
         rows = []
-        for text in b.column(1).to_pylist():
+        for text in strings(b.column(1)):
             base, extra = find(text)
             n = [sum(k == x for k, _, _ in base) for x in BASE_KINDS]
             rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + extra)))

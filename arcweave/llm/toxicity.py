@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import text_or_empty
+from arcweave.llm.common import strings, text_or_empty
 
 SAMPLE = 3000
 WINDOW = 4  # words
@@ -49,7 +49,7 @@ class _Views(dict):
     """Word -> its prefixes of 3 to 7 letters in a row, as bytes; forgotten when large."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         view = self[word] = (" " + "".join(word[:k] for k in range(3, min(len(word), 7) + 1))).encode()
         return view
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     def run(batches):
         score = model.scorer()
         for b in batches:
-            column = pa.array([score(t or "") for t in b.column(text_col).to_pylist()], pa.float64())
+            column = pa.array([score(t or "") for t in strings(b.column(text_col))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, out])
 
     ddl = type(docs.schema)([*docs.schema.fields]).add(out, "double")
