@@ -207,6 +207,8 @@ def _repeats_in(width: int):
     """Later occurrences among the pieces of one group of keys, as ranges of starts."""
 
     def run(table: pa.Table) -> pa.Table:
+        _, which, times = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        table = table.filter(pa.array(times[which] > 1))  # a key of one piece repeats nothing
         uid, tag, a = (table.column(c).to_numpy() for c in ("uid", "tag", "a"))
         w1, w2, u, t, s = _windows_of(uid, tag, a, table.column("piece").to_pylist(), width, _Powers())
         order = np.lexsort((s, t, u, w2, w1))
@@ -281,17 +283,21 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key_lim
     deep = heads.join(deeper, "h").groupBy("head.uid", "head.tag").agg(F.collect_list(F.struct("h", "head.a", "head.b")).alias("runs"))
     held = base.join(deep, ["uid", "tag"]).select("uid", "tag", "text", "runs")
     pieces = durable(held.mapInArrow(_piece_rows(width, gram), "key long, uid long, tag long, a int, piece binary"))
-    counts = pieces.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = pieces.join(counts, "key")
-    # pass 4: whole windows; keys that many pieces share as rows, the others in groups of bounded size
-    groups = max(1, (pieces.count() or 0) // GROUP)
-    few = shared.filter(F.col("n") <= key_limit).withColumn("part", F.pmod("key", F.lit(groups)))
-    found = few.select("part", "uid", "tag", "a", "piece").groupBy("part").applyInArrow(_repeats_in(width), "uid long, tag long, a int, b int")
-    windows = durable(shared.filter(F.col("n") > key_limit).select("uid", "tag", "a", "piece").mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag long, s int"))
+    # pass 4: whole windows; the pieces of a few keys at a time in groups of bounded size, keys that very many share as rows
+    hot = durable(pieces.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_limit).select("key"))
+    crowded = bool(hot.head(1))  # no such key: the pieces need no join
+    few = pieces.join(hot, "key", "left_anti") if crowded else pieces
+    groups = max(1, pieces.count() // GROUP)
+    few = few.select(F.pmod("key", F.lit(groups)).alias("part"), "key", "uid", "tag", "a", "piece")
+    covered = later.unionByName(few.groupBy("part").applyInArrow(_repeats_in(width), "uid long, tag long, a int, b int"))
+    if not crowded:
+        return base, covered
+    many = pieces.join(hot, "key", "left_semi").select("uid", "tag", "a", "piece")
+    windows = durable(many.mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag long, s int"))
     at = F.struct("uid", "tag", "s")
     firsts = windows.groupBy("w1", "w2").agg(F.min(at).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(firsts, ["w1", "w2"]).filter(at != F.col("head")).select("uid", "tag", F.col("s").alias("a"), F.col("s").alias("b"))
-    return base, later.unionByName(found).unionByName(again)
+    return base, covered.unionByName(again)
 
 
 def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False, key_limit: int = KEY_LIMIT) -> DataFrame:
