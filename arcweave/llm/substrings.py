@@ -213,10 +213,14 @@ def _repeats_in(width: int):
         w1, w2, u, t, s = _windows_of(uid, tag, a, table.column("piece").to_pylist(), width, _Powers())
         order = np.lexsort((s, t, u, w2, w1))
         w1, w2, u, t, s = w1[order], w2[order], u[order], t[order], s[order]
-        again = np.flatnonzero((w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])) + 1
+        equal = np.append(False, (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]))[: len(s)]
+        head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(s))))
+        again = np.flatnonzero((u != u[head]) | (t != t[head]) | (s != s[head]))  # the head itself comes again with each repeated row
         u, t, s = u[again], t[again], s[again]
         order = np.lexsort((s, t, u))
         u, t, s = u[order], t[order], s[order]
+        other = np.append(True, (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1]))[: len(s)]
+        u, t, s = u[other], t[other], s[other]
         new = np.ones(len(s), bool)
         new[1:] = (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(new)

@@ -291,6 +291,19 @@ def test_repeats_edges(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in twice) == [(-1, 0), (4, 300), (4, 300)]
 
 
+def test_repeated_rows_keep_what_occurs_nowhere_else(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = text(150)
+    rows = [(1, text(200) + shared + text(200)), (2, text(200) + shared + text(200)), (3, "xyz" * 100 + text(50)), (4, shared[:120] + text(90))]
+    repeated = [*rows, *rows[:3], rows[0]]
+    d = docs_of(spark, [t for _, t in repeated], [i for i, _ in repeated])
+    expected = brute_repeats(rows, 100)
+    for limit in (substrings.KEY_LIMIT, 2):
+        found = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substrings.removed(d, key_limit=limit).collect()]
+        assert sorted(found) == sorted((i, expected[i]) for i, _ in repeated)
+
+
 # top-k
 
 
