@@ -1,15 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on what sets toxic text
-apart. A document is cut into windows of words; each window is compressed with the ordinary dictionary and with
-ordinary plus toxic content, and the bytes that the toxic content saves are the window's gain. A logistic
-calibration on how many windows reach each of several gains turns them into a probability.
+Three zstandard dictionaries are trained on labelled text: one on ordinary text, one on all windows of the toxic
+text, and a short one on the words that set toxic text apart. A document is cut into windows of words; each window is
+compressed with the ordinary dictionary and with ordinary plus either toxic content, and the bytes that a toxic
+content saves are the window's gain under it. A logistic calibration on how many windows reach each of several gains,
+under each of the two, turns them into a probability.
 
 Text is compressed as an edge-gram view: a distinct word of three letters or more is written as its
 prefixes of three to seven letters in a row. A word that begins like a toxic one then shares a long string with
 the dictionary; in plain text, the few letters shared cost as much to refer to as to write, and the two lengths differ by
-noise alone. The toxic dictionary is trained on the words of toxic documents whose prefixes are
-over-represented there (z > 5 against ordinary documents), cut to that prefix.
+noise alone. The short toxic dictionary is trained on the words of toxic documents whose prefixes are
+over-represented there (z > 5 against ordinary documents), cut to that prefix; words too rare for that test count by
+the dictionary of all toxic windows.
 
 Training reads at most ``SAMPLE`` labelled documents of each class, the first by a hash of the id, from the rows whose
 crc32(doc_id as text) mod 5 is not 0; three quarters train the dictionaries, one quarter calibrates, weighted back to
@@ -39,7 +41,7 @@ from arcweave.llm.common import strings, text_or_empty
 
 SAMPLE = 3000
 WINDOW = 4  # words
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+ORDINARY_BYTES, TOXIC_BYTES, TELLING_BYTES = 32768, 16384, 2048
 STEPS = (3, 5, 7, 9, 12)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _REPEATS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # the last header field of a trained dictionary
@@ -96,29 +98,35 @@ class Model:
     """Dictionaries' contents and calibration; ``constant`` where a class had no labels."""
 
     ordinary: bytes = b""
-    toxic: bytes = b""
+    toxic: bytes = b""  # all toxic windows
+    telling: bytes = b""  # over-represented words alone
     beta: tuple = ()
     constant: float | None = None
 
+    def compressors(self) -> list[zstandard.ZstdCompressor]:
+        return [_compressor(self.ordinary), _compressor(self.ordinary + self.toxic), _compressor(self.ordinary + self.telling)]
+
     def scorer(self):
         """text -> probability; builds the compressors once."""
         if self.constant is not None:
             return lambda text: self.constant
-        plain, toxic, beta = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic), np.array(self.beta)
+        compressors, beta = self.compressors(), np.array(self.beta)
 
         def score(text: str) -> float:
-            z = float(features(text, plain, toxic) @ beta)
+            z = float(features(text, *compressors) @ beta)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
         return score
 
 
-def features(text: str, plain, toxic) -> np.ndarray:
-    a, b = plain.compress, toxic.compress
-    gains = [len(a(w)) - len(b(w)) for w in windows(text)]
-    top = max(gains, default=0)
-    counts = [sum(g >= k for g in gains) for k in STEPS]
-    return np.array([1.0, max(-4, min(top, 24)) / 8, *(math.log1p(c) for c in counts), math.log1p(len(gains)) / 4])
+def features(text: str, plain, *toxic) -> np.ndarray:
+    views = windows(text)
+    base = [len(plain.compress(w)) for w in views]
+    out = [1.0, math.log1p(len(views)) / 4]
+    for c in toxic:
+        gains = [n - len(c.compress(w)) for n, w in zip(base, views, strict=True)]
+        out += [max(-4, min(max(gains, default=0), 24)) / 8, *(math.log1p(sum(g >= k for g in gains)) for k in STEPS)]
+    return np.array(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -156,12 +164,13 @@ def fit(toxic: list[str], ordinary: list[str], totals: tuple[int, int]) -> Model
         views = [_VIEWS[max(hit, key=len)] for w in words(x) if (hit := _prefixes(w) & marked)]
         if views:
             telling.append(b"".join(views))
-    plain = [w for x in o for w in windows(x)]
+    plain, bad = ([w for x in rows for w in windows(x)] for rows in (o, t))
     random.Random(7).shuffle(plain)
-    model = Model(_trained(plain[:40_000], ORDINARY_BYTES), _trained(telling, TOXIC_BYTES) if telling else b"")
-    ca, cb = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
+    random.Random(7).shuffle(bad)
+    model = Model(_trained(plain[:40_000], ORDINARY_BYTES), _trained(bad, TOXIC_BYTES), _trained(telling, TELLING_BYTES) if telling else b"")
+    compressors = model.compressors()
     ct, co = part(toxic, True), part(ordinary, True)
-    x = np.array([features(d, ca, cb) for d in ct + co])
+    x = np.array([features(d, *compressors) for d in ct + co])
     y = np.array([1.0] * len(ct) + [0.0] * len(co))
     w = np.where(y == 1, totals[0] / len(ct), totals[1] / len(co))
     model.beta = tuple(_logistic(x, y, w).tolist())

@@ -163,3 +163,15 @@ def test_toxicity_edges(spark, labelled):
     assert toxicity.digest(docs_of(spark, []), labels).count() == 0
     assert toxicity.digest(docs, labels.limit(0)).filter("score <> 0").count() == 0
     assert toxicity.learn(docs, labels.filter("toxic = 1")).constant == 1.0
+
+
+def test_toxic_words_too_rare_for_the_z_test_count():
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(4))
+    common, rare = [name() for _ in range(400)], [name() for _ in range(60)]
+    text = lambda toxic: " ".join([*rng.choices(common, k=40), *(rng.choices(rare, k=3) if toxic else ())])
+    model = toxicity.fit([text(True) for _ in range(300)], [text(False) for _ in range(300)], (300, 300))
+    assert model.telling == b"", "each word is in about one toxic document in twenty"
+    score = model.scorer()
+    caught, wrong = (sum(score(text(toxic)) >= 0.5 for _ in range(200)) / 200 for toxic in (True, False))
+    assert caught > 0.8 and wrong < 0.2, (caught, wrong)
