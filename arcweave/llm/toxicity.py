@@ -167,7 +167,7 @@ def fit(toxic: list[str], ordinary: list[str], totals: tuple[int, int]) -> Model
     plain, bad = ([w for x in rows for w in windows(x)] for rows in (o, t))
     random.Random(7).shuffle(plain)
     random.Random(7).shuffle(bad)
-    model = Model(_trained(plain[:40_000], ORDINARY_BYTES), _trained(bad, TOXIC_BYTES), _trained(telling, TELLING_BYTES) if telling else b"")
+    model = Model(_trained(plain, ORDINARY_BYTES), _trained(bad, TOXIC_BYTES), _trained(telling, TELLING_BYTES) if telling else b"")
     compressors = model.compressors()
     ct, co = part(toxic, True), part(ordinary, True)
     x = np.array([features(d, *compressors) for d in ct + co])

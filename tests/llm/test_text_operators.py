@@ -175,3 +175,11 @@ def test_toxic_words_too_rare_for_the_z_test_count():
     score = model.scorer()
     caught, wrong = (sum(score(text(toxic)) >= 0.5 for _ in range(200)) / 200 for toxic in (True, False))
     assert caught > 0.8 and wrong < 0.2, (caught, wrong)
+
+
+def test_all_windows_of_the_sample_train(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(len(samples)) or b"".join(samples)[-size:])
+    text = " ".join(a + b + c for a in "bcdfghjk" for b in "aeiou" for c in "lmnpq")
+    toxicity.fit([text] * 8, [text] * 1200, (8, 1200))
+    assert seen[0] == 900 * len(toxicity.windows(text)) > 40_000 and seen[1] == 6 * len(toxicity.windows(text))
