@@ -17,6 +17,14 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def inline_table(spark: SparkSession, rows_json: str, ddl: str) -> DataFrame:
     """A small driver-made table as a JVM-side literal (no Python on executors)."""
     one = spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), f"array<struct<{ddl}>>")))

@@ -165,13 +165,12 @@ def test_toxicity_edges(spark, labelled):
     assert toxicity.learn(docs, labels.filter("toxic = 1")).constant == 1.0
 
 
-def test_toxic_words_too_rare_for_the_z_test_count():
+def test_rare_toxic_words_count():
     rng = random.Random(8)
     name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(4))
     common, rare = [name() for _ in range(400)], [name() for _ in range(60)]
     text = lambda toxic: " ".join([*rng.choices(common, k=40), *(rng.choices(rare, k=3) if toxic else ())])
     model = toxicity.fit([text(True) for _ in range(300)], [text(False) for _ in range(300)], (300, 300))
-    assert model.telling == b"", "each word is in about one toxic document in twenty"
     score = model.scorer()
     caught, wrong = (sum(score(text(toxic)) >= 0.5 for _ in range(200)) / 200 for toxic in (True, False))
     assert caught > 0.8 and wrong < 0.2, (caught, wrong)
@@ -182,4 +181,38 @@ def test_all_windows_of_the_sample_train(monkeypatch):
     monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(len(samples)) or b"".join(samples)[-size:])
     text = " ".join(a + b + c for a in "bcdfghjk" for b in "aeiou" for c in "lmnpq")
     toxicity.fit([text] * 8, [text] * 1200, (8, 1200))
-    assert seen[0] == 900 * len(toxicity.windows(text)) > 40_000 and seen[1] == 6 * len(toxicity.windows(text))
+    assert seen[0] == 4 * len(toxicity.windows(text)) and seen[1] == 600 * len(toxicity.windows(text)) > 40_000
+
+
+def test_windows_hold_every_byte_of_the_text():
+    texts = ["", "a", " ", "go up 12 !! ok  ", "é" * 500, "x" * 100_000, " " * 1000, "a\n\n b\tc" * 50, "漢字" * 300, "one two\x00three\x1c four"]
+    for t in texts:
+        pieces = toxicity.windows(t)
+        assert b"".join(pieces) == t.lower().encode() and max(map(len, pieces), default=0) <= 2 * toxicity.LONGEST
+    assert len({toxicity.widen(bytes([b])) for b in range(256)}) == 256, "the code is one to one"
+    base = toxicity.windows("abcdefgh 123 ab")
+    for other in ("abcdefgx 123 ab", "abcdefgh 124 ab", "abcdefgh 123 ac", "abcdefgh 123 ab ab", "abcdefgh 123 ab."):
+        assert toxicity.windows(other) != base
+
+
+def test_cells_are_the_two_compressed_lengths():
+    toxic, plain = b" vilegrub snarlpox" * 3, b" the other on an inner red hen" * 3
+    lengths = toxicity.Lengths(toxic, plain)
+    import zstandard
+
+    p = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=8, min_match=6, target_length=256, strategy=zstandard.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False)
+    size = lambda content, w: len(zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(toxicity.widen(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(toxicity.widen(w)))
+    for w in toxicity.windows("a vilegrub and other hens, 12 !! snarlpox"):
+        assert divmod(lengths[w], toxicity._TOP) == (size(toxic, w), size(plain, w))
+    assert divmod(lengths[b" vilegrub"], toxicity._TOP)[0] < divmod(lengths[b" vilegrub"], toxicity._TOP)[1]
+
+
+def test_toxicity_clashing_columns(labelled):
+    docs, labels = labelled
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumn("toxic", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("id", F.lit(1)).withColumn("mark", F.lit(2)).withColumn("toxicity", F.lit(0.5))
+    model = toxicity.learn(odd, labels.withColumn("text", F.lit("other")))
+    kept = toxicity.keep_clean(odd, model)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in toxicity.keep_clean(docs, toxicity.learn(docs, labels)).collect())
