@@ -16,10 +16,10 @@ digits, and a group that is down to one member leaves after each pass:
 
 "First" means smaller document id, then earlier start. Every pass is a grouped minimum, aggregated before the
 shuffle, and a join back that Spark can split at hot keys, so a passage that very many documents share is
-never in one task. Texts travel twice, by document id, for pass 3 and the cut.
+never in one task. Texts travel twice, compressed, by document id, for pass 3 and the cut.
 
 Edge cases: null text is empty; texts shorter than a window keep everything; rows of one id with different
-texts are ordered by a hash of the text; identical rows count as one document (both keep the same bytes); a null id sorts first; an
+texts are told apart and ordered by a 32-bit hash of the text; identical rows count as one document (both keep the same bytes); a null id sorts first; an
 empty table gives an empty result; extra columns are ignored. The remaining bytes need not be valid UTF-8.
 """
 
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ GROUP = 8192  # pieces to a group
 KEY_LIMIT = 32_768  # pieces of one key that may stay in a group
 _CHUNK = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
-_P = np.uint64(0xD6E8FEB86659FD93)
-_Q = np.uint64(0x2545F4914F6CDD1D)
+_S1, _S2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)  # seeds of the two digests
+_LEVEL = 9  # of the compression in which whole texts travel
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,30 +59,35 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-class _Powers:
-    """Power sums give the hash of any byte range in two look-ups."""
+def _hashes(raw: np.ndarray, width: int, seed: np.uint64) -> np.ndarray:
+    """One 64-bit hash per ``width``-byte stretch (8 at least), by doubling; every step mixes, so equal sums do not make equal hashes."""
+    if len(raw) < width:
+        return np.zeros(0, np.uint64)
+    h, have = _mix((np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)) ^ seed) * _M1 + seed), 8
+    while have < width:
+        step = min(have, width - have)
+        h = _mix(h[:-step] * _M1 + _mix(h[step:] + seed) * _M3)
+        have += step
+    return h
 
-    def __init__(self):
-        self.up: dict[int, np.ndarray] = {}
 
-    def of(self, p: int, n: int) -> np.ndarray:
-        if len(self.up.get(p, ())) < n:
-            self.up[p] = np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, p, np.uint64)), dtype=np.uint64)
-        return self.up[p]
-
-    def ranges(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.uint64) -> np.ndarray:
-        n, p = len(data), int(p)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(data.astype(np.uint64) + _M1) * self.of(p, n + 1)[:n], out=sums[1:], dtype=np.uint64)
-        down = self.of(pow(p, -1, 1 << 64), n + 1)  # equal ranges are equal once lowered by their start
-        return _mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * _M3)
+def _run_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the text of each run, from the hashes ``h`` of the stretches that cover it in turn."""
+    out = _mix(h[a] + (b - a).astype(np.uint64) * _M3)
+    at = a + width
+    open_ = np.flatnonzero(at < b)
+    while len(open_):
+        out[open_] = _mix(out[open_] * _M1 + h[at[open_]])
+        at[open_] += width
+        open_ = open_[at[open_] < b[open_]]
+    return _mix(out * _M1 + h[b])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def runs_of(data: np.ndarray, lengths: np.ndarray, width: int, gram: int, powers: _Powers):
+def runs_of(data: np.ndarray, lengths: np.ndarray, width: int, gram: int):
     """(document, start, last start, minimiser, text hash, self) of every run in concatenated texts."""
     n = len(data)
     empty = np.zeros(0, np.int64)
@@ -104,7 +110,7 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, width: int, gram: int, powers
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     a, b = starts[first], starts[last]
-    text_hash = powers.ranges(raw, a, b + width, _P)
+    text_hash = _run_hashes(_hashes(raw, width, _S1), a, b, width)
     # values whose gram occurs twice close by may make a run overlap itself
     anchors = np.flatnonzero(h[: len(least) + per - 1] == _sliding(np.concatenate([np.zeros(per - 1, np.uint64), least, np.zeros(per - 1, np.uint64)]), per, False))
     close = (h[anchors[1:]] == h[anchors[:-1]]) & (np.diff(anchors) <= per)
@@ -129,21 +135,29 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _squeeze(batches):
+    """Texts as compressed bytes, for the joins that move whole texts."""
+    z = zstandard.ZstdCompressor(level=_LEVEL, write_checksum=False)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([z.compress(t) for t in _bytes_of(part.column(2))], pa.binary())], ["uid", "tag", "text"])
+
+
 def _run_rows(width: int, gram: int):
     def run(batches):
-        powers = _Powers()
         for batch in batches:
             uid, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = _bytes_of(batch.column(2))
             for i, j in _chunks(texts):
                 data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-                doc, a, b, key, text, own = runs_of(data, np.array([len(t) for t in texts[i:j]], np.int64), width, gram, powers)
+                doc, a, b, key, text, own = runs_of(data, np.array([len(t) for t in texts[i:j]], np.int64), width, gram)
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(text), pa.array(uid[i:j][doc]), pa.array(tag[i:j][doc]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(own)], ["h", "c", "uid", "tag", "a", "b", "own"])
 
     return run
 
 
-_RUN_DDL = "h long, c long, uid long, tag long, a int, b int, own boolean"
+_RUN_DDL = "h long, c long, uid long, tag int, a int, b int, own boolean"
 
 
 def _pieces_of(data: np.ndarray, runs: list, width: int, gram: int):
@@ -177,29 +191,30 @@ def _piece_rows(width: int, gram: int):
     half = (width - gram) // 2
 
     def run(batches):
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for uid, tag, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
                 runs = runs.as_py()
                 if runs:
-                    raw = text.as_py().encode()
+                    raw = z.decompress(text.as_py())
                     for side, lo, hi, near in _pieces_of(np.frombuffer(raw, np.uint8), runs, width, gram):
                         key = hashlib.blake2b(raw[near : near + half], digest_size=8, salt=bytes([side])).digest()
                         for col, x in zip(out, (int.from_bytes(key, "little", signed=True), uid.as_py(), tag.as_py(), lo, raw[lo:hi]), strict=True):
                             col.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["key", "uid", "tag", "a", "piece"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(out[4], pa.binary())], ["key", "uid", "tag", "a", "piece"])
 
     return run
 
 
-def _windows_of(uid, tag, a, pieces: list[bytes], width: int, powers: _Powers):
+def _windows_of(uid, tag, a, pieces: list[bytes], width: int):
     """All windows of some pieces: two digests, document, start."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     n = np.array([len(p) for p in pieces], np.int64)
     k = n - width + 1
     inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
     lo = np.repeat(np.cumsum(n) - n, k) + inner
-    w1, w2 = (powers.ranges(data, lo, lo + width, p) for p in (_P, _Q))
+    w1, w2 = (_hashes(data, width, seed)[lo] for seed in (_S1, _S2))
     return w1, w2, np.repeat(uid, k), np.repeat(tag, k), np.repeat(a, k).astype(np.int64) + inner
 
 
@@ -210,7 +225,7 @@ def _repeats_in(width: int):
         _, which, times = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
         table = table.filter(pa.array(times[which] > 1))  # a key of one piece repeats nothing
         uid, tag, a = (table.column(c).to_numpy() for c in ("uid", "tag", "a"))
-        w1, w2, u, t, s = _windows_of(uid, tag, a, table.column("piece").to_pylist(), width, _Powers())
+        w1, w2, u, t, s = _windows_of(uid, tag, a, table.column("piece").to_pylist(), width)
         order = np.lexsort((s, t, u, w2, w1))
         w1, w2, u, t, s = w1[order], w2[order], u[order], t[order], s[order]
         equal = np.append(False, (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]))[: len(s)]
@@ -225,7 +240,7 @@ def _repeats_in(width: int):
         new[1:] = (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(s)) - 1 if len(s) else first
-        return pa.table({"uid": pa.array(u[first], pa.int64()), "tag": pa.array(t[first], pa.int64()), "a": pa.array(s[first].astype(np.int32)), "b": pa.array(s[last].astype(np.int32))})
+        return pa.table({"uid": pa.array(u[first], pa.int64()), "tag": pa.array(t[first].astype(np.int32)), "a": pa.array(s[first].astype(np.int32)), "b": pa.array(s[last].astype(np.int32))})
 
     return run
 
@@ -234,23 +249,23 @@ def _window_rows(width: int):
     """The windows of pieces as rows, for keys that too many pieces share."""
 
     def run(batches):
-        powers = _Powers()
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 uid, tag, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "tag", "a"))
-                w1, w2, u, t, s = _windows_of(uid, tag, a, part.column("piece").to_pylist(), width, powers)
-                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(u, pa.int64()), pa.array(t, pa.int64()), pa.array(s.astype(np.int32))], ["w1", "w2", "uid", "tag", "s"])
+                w1, w2, u, t, s = _windows_of(uid, tag, a, part.column("piece").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(u, pa.int64()), pa.array(t.astype(np.int32)), pa.array(s.astype(np.int32))], ["w1", "w2", "uid", "tag", "s"])
 
     return run
 
 
 def _cut(width: int, keep_text: bool):
     def run(batches):
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for uid, text, spans in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
-                data = text.as_py().encode()
+                data = z.decompress(text.as_py())
                 mask = np.zeros(len(data) + 1, np.int32)
                 for r in spans.as_py() or []:
                     mask[r["a"]] += 1
@@ -271,10 +286,11 @@ _NULL = -(2**63)
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key_limit: int = KEY_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(documents, covered): covered has uid, tag, a, b, ranges of window starts with an earlier equal window."""
+    """(documents with compressed texts, covered): covered has uid, tag, a, b, ranges of window starts with an earlier equal window."""
     text = text_or_empty("text")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("uid"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    rows = base.mapInArrow(_run_rows(width, gram), _RUN_DDL)
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("uid"), F.hash(text).alias("tag"), text.alias("text"))
+    base = plain.mapInArrow(_squeeze, "uid long, tag int, text binary")
+    rows = plain.mapInArrow(_run_rows(width, gram), _RUN_DDL)
     # pass 1: minimisers that occur more than once
     often = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("n > 1 OR any_own")
     live = durable(rows.join(often.select("h", "any_own"), "h").drop("own"))
@@ -286,18 +302,18 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key_lim
     deeper = heads.groupBy("h").agg((F.count("*") > 1).alias("several"), F.max("any_own").alias("any_own")).filter("several OR any_own").select("h")
     deep = heads.join(deeper, "h").groupBy("head.uid", "head.tag").agg(F.collect_list(F.struct("h", "head.a", "head.b")).alias("runs"))
     held = base.join(deep, ["uid", "tag"]).select("uid", "tag", "text", "runs")
-    pieces = durable(held.mapInArrow(_piece_rows(width, gram), "key long, uid long, tag long, a int, piece binary"))
+    pieces = durable(held.mapInArrow(_piece_rows(width, gram), "key long, uid long, tag int, a int, piece binary"))
     # pass 4: whole windows; the pieces of a few keys at a time in groups of bounded size, keys that very many share as rows
     hot = durable(pieces.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_limit).select("key"))
     crowded = bool(hot.head(1))  # no such key: the pieces need no join
     few = pieces.join(hot, "key", "left_anti") if crowded else pieces
     groups = max(1, pieces.count() // GROUP)
     few = few.select(F.pmod("key", F.lit(groups)).alias("part"), "key", "uid", "tag", "a", "piece")
-    covered = later.unionByName(few.groupBy("part").applyInArrow(_repeats_in(width), "uid long, tag long, a int, b int"))
+    covered = later.unionByName(few.groupBy("part").applyInArrow(_repeats_in(width), "uid long, tag int, a int, b int"))
     if not crowded:
         return base, covered
     many = pieces.join(hot, "key", "left_semi").select("uid", "tag", "a", "piece")
-    windows = durable(many.mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag long, s int"))
+    windows = durable(many.mapInArrow(_window_rows(width), "w1 long, w2 long, uid long, tag int, s int"))
     at = F.struct("uid", "tag", "s")
     firsts = windows.groupBy("w1", "w2").agg(F.min(at).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(firsts, ["w1", "w2"]).filter(at != F.col("head")).select("uid", "tag", F.col("s").alias("a"), F.col("s").alias("b"))
