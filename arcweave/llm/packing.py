@@ -9,8 +9,10 @@ tier are exactly full, and a tier's length is a power of two. What is left at a
 tier with documents; it is cut at powers of two too, so nothing is padded. Windows are dealt to step groups by
 longest processing time, which keeps the groups' token counts within one window of each other.
 
+Ids of any size are carried, so the vocabulary may be larger than 65,536.
+
 Edge cases: a null or empty text is the end token alone; very long texts are cut into full windows; null ids are
-carried; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
+carried (rows of one id with equal texts meet in one group); repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,17 +100,27 @@ def steps(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids as little-endian numbers of 2 or 4 bytes, as the largest needs, after one byte that says which."""
+    wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
+    return (b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def tokenised(docs: DataFrame, groups: int, path: str | None = None) -> DataFrame:
-    """doc_id, part (packing group), ids (binary, little-endian 16-bit, with the end token)."""
+    """doc_id, part (packing group), ids (binary, with the end token, as ``narrow`` writes them)."""
     path = path or vocabulary_path()
 
     def run(batches):
         from arcweave.llm.tokens import WordBpe
 
-        encoder, end = WordBpe(path), np.array([END_ID], np.uint16)
+        encoder, end = WordBpe(path), np.array([END_ID], np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                ids = [np.concatenate([x, end]).astype("<u2").tobytes() for x in encoder.encode(b.column(2).slice(at, 512).to_pylist())]
+                ids = [narrow(np.concatenate([x, end])) for x in encoder.encode(b.column(2).slice(at, 512).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), b.column(1).slice(at, 512), pa.array(ids, pa.binary())], ["doc_id", "part", "ids"])
 
     text = text_or_empty("text")
@@ -119,7 +131,7 @@ def tokenised(docs: DataFrame, groups: int, path: str | None = None) -> DataFram
 def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "ids"], na_position="first")
     part = int(pdf["part"].iloc[0])
-    ids = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
+    ids = [widened(x) for x in pdf["ids"]]
     windows = pack([len(x) for x in ids])
     sizes = [sum(n for _, _, n in w) for w in windows]
     rows = []

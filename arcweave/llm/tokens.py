@@ -12,6 +12,7 @@ import json
 import unicodedata
 
 import numpy as np
+import xxhash
 
 _LIMIT = 0x250  # code points that the class table covers
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
@@ -70,6 +71,24 @@ class _PairTable:
         return out
 
 
+def _keys(data: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word: eight bytes at a time, mixed at every step; words over 64 bytes by xxh3."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+    mask = np.array([(1 << 8 * r) - 1 for r in range(9)], np.uint64)
+    key, open_ = n.astype(np.uint64) * _ODD, np.arange(len(n))
+    for at in range(0, 64, 8):
+        open_ = open_[n[open_] > at]
+        if not len(open_):
+            break
+        x = key[open_] ^ (eight[lo[open_] + at] & mask[np.minimum(n[open_] - at, 8)])
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * _ODD
+        key[open_] = x ^ (x >> np.uint64(30))
+    for i in np.flatnonzero(n > 64):
+        key[i] = xxhash.xxh3_64_intdigest(data[lo[i] : lo[i] + n[i]].tobytes())
+    return key
+
+
 class WordBpe:
     """Encoder for the vocabulary file at ``path`` (lower case, word ends, white space dropped)."""
 
@@ -89,10 +108,9 @@ class WordBpe:
         self.ranks = _PairTable(keys, first.astype(np.int32))
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.kind, self.lower = _code_point_tables()
-        self.powers = np.ones(1, np.uint64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids (uint16) of each text."""
+        """Token ids (uint32) of each text."""
         out: list = [None] * len(texts)
         batch, size = [], 0
         for i, t in enumerate(texts):
@@ -109,7 +127,7 @@ class WordBpe:
         return out
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _chunk(self, texts: list[str], batch: list[int], out: list) -> None:
         cps = np.frombuffer("\n".join([texts[i] for i in batch] + [""]).encode("utf-32-le"), np.uint32)
@@ -142,7 +160,7 @@ class WordBpe:
             ids, counts = self._words(data, lo, n)
             per_text = np.bincount(text_of, weights=counts, minlength=len(batch)).astype(np.int64)
         else:
-            ids, per_text = np.zeros(0, np.uint16), np.zeros(len(batch), np.int64)
+            ids, per_text = np.zeros(0, np.uint32), np.zeros(len(batch), np.int64)
         cuts = np.append(0, np.cumsum(per_text))
         for k, i in enumerate(batch):
             if out[i] is None:
@@ -162,14 +180,7 @@ class WordBpe:
 
     def _words(self, data: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and how many each has."""
-        if len(self.powers) <= len(data):
-            self.powers = np.cumprod(np.append(np.uint64(1), np.full(len(data) + len(data) // 4 + 1, _ODD)), dtype=np.uint64)
-        size = len(data)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[size - 1 :: -1][:size] if size else data, out=sums[1:], dtype=np.uint64)
-        # terms carry falling powers; lifting by the power of the start makes equal words equal
-        key = (sums[lo + n] - sums[lo]) * self.powers[lo]
-        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + n.astype(np.uint64)
+        key = _keys(data, lo, n)
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         ids, counts = self._merge(data, lo[first], n[first])
         offs = np.append(0, np.cumsum(counts))
@@ -222,4 +233,4 @@ class WordBpe:
         ids = np.concatenate(done_ids) if done_ids else symbol
         who = np.concatenate(done_owner) if done_owner else owner
         order = np.argsort(who, kind="stable")
-        return ids[order].astype(np.uint16), np.bincount(who, minlength=words).astype(np.int64)
+        return ids[order].astype(np.uint32), np.bincount(who, minlength=words).astype(np.int64)
