@@ -10,12 +10,14 @@ The corpus pass returns only counts per (votes, features) pattern; there are at
 3^5 votes x 8 kinds x 32 shapes of these whatever the input, so what reaches the driver is bounded.
 
 Edge cases: a null text counts as empty and has no spans; a null id is carried through; repeated rows are
-each answered; an empty table gives an empty result; extra columns are ignored (``redact`` keeps them).
+each answered; an empty table gives an empty result; extra columns are ignored (``redact`` keeps them). Every search takes time in proportion to the text,
+so very long texts are searched whole. Of candidates that overlap, the first to start stays, then the longest, then the kind listed first.
 Offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -34,12 +36,12 @@ KINDS = BASE_KINDS + ADDED_KINDS
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # a run of digits that fails at its start fails further in too
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")  # what follows the local part
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\+[0-9]{1,3}[\x20-])?\(?[0-9]{2,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -78,18 +80,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def _with_local_part(text: str, rest: re.Pattern):
+    """Matches of ``rest`` that have a local part before them, with it; what an earlier match took is not used again."""
+    end = 0
+    for m in rest.finditer(text):
+        at = start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at:
+            yield start, m.end()
+            end = m.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's spans, by kind as listed, then start."""
     out: list[tuple[str, int, int]] = []
     if "@" in text:
-        end = 0
-        for m in _AT.finditer(text):
-            at = start = m.start()
-            while start > end and text[start - 1] in _LOCAL:
-                start -= 1
-            if start < at:
-                out.append(("email", start, m.end()))
-                end = m.end()
+        out += [("email", a, b) for a, b in _with_local_part(text, _AT)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
@@ -106,20 +113,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Possible further spans; those that overlap a base span are not candidates."""
+    """Possible further spans, none of which overlap: the first to start, then the longest, then the kind listed first; none over a base span."""
     out = []
     if "at)" in text or "at]" in text or "at}" in text:
-        out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
+        out += [("email", a, b) for a, b in _with_local_part(text, _SPELLED)]
     if _DIGIT.search(text):
         out += [("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
         out += [("national_id", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
         out += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text)]
         out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 13 <= sum(c not in " -" for c in m.group()) <= 19]
     out += [("name", m.start(1), m.end(1)) for m in _NAME.finditer(text)]
-    kept, taken = [], sorted((s, e) for _, s, e in base)
+    starts, ends = [], []  # the base spans as disjoint stretches in order
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    kept, end = [], 0
     for kind, s, e in sorted(out, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
-        if not any(s < be and bs < e for bs, be in taken) and not any(s < ke and ks < e for _, ks, ke in kept[-4:]):
+        at = bisect.bisect_left(starts, e) - 1
+        if s >= end and (at < 0 or ends[at] <= s):
             kept.append((kind, s, e))
+            end = e
     return kept
 
 
