@@ -5,10 +5,11 @@ run, at that place alone. Long hexadecimal strings have no keyword; they are fou
 character (a run of 24 must cover a probe) and widening from the probes that hold a hexadecimal digit.
 Added kinds carry a checksum or structure of their own, and count only if it holds: ``vcs`` and ``registry``
 (36 characters whose last six are the base-62 CRC-32 of the first thirty), ``jwt`` (header and payload
-decode to JSON objects) and ``pem`` (a private-key block header).
+decode to JSON objects; it begins where its run of characters begins) and ``pem`` (a private-key block header).
 
 Edge cases: null text counts as empty; null ids are carried; repeated rows are each answered; an empty
-table gives an empty result; extra columns are ignored. Offsets count code points, end exclusive.
+table gives an empty result; extra columns are ignored. Every search takes time in proportion to the text, so very long texts
+are searched whole; spans of different kinds may overlap, those of one kind never do. Offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ KINDS = BASE_KINDS + ADDED_KINDS
 _ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _CHECKED = re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _HEX = frozenset("0123456789abcdef")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -90,10 +91,10 @@ def hex_runs(text: str, least: int = 24) -> list[tuple[int, int]]:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans); base by start, then kind as listed."""
     base, extra = [], []
-    ends = {"assign": 0, "access": 0}
+    ends = {"assign": 0, "access": 0, "jwt": 0}
     for last, (n, kind) in _AUTOMATON.iter(text.translate(_LOWER) if not text.isascii() else text.lower()):
         at = last - n + 1
-        if kind in ends:
+        if kind in BASE_KINDS:
             if at >= ends[kind] and (m := (_ASSIGN if kind == "assign" else _ACCESS).match(text, at)):
                 ends[kind] = m.end()
                 if (m.end() - m.start(1) >= 6) if kind == "assign" else (m.end() - at >= 20):
@@ -102,8 +103,9 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             if (m := _CHECKED.match(text, at)) and checksum36(m.group()[4:]):
                 extra.append((kind, at, m.end()))
         elif kind == "jwt":
-            if (m := _JWT.match(text, at)) and _is_json(m[1]) and _is_json(m[2]) and not any(k == "jwt" and s <= at < e for k, s, e in extra):
+            if at >= ends[kind] and (m := _JWT.match(text, at)) and _is_json(m[1]) and _is_json(m[2]):
                 extra.append((kind, at, m.end()))
+                ends[kind] = m.end()
         elif m := _PEM.match(text, at):
             extra.append((kind, at, m.end()))
     base += [("hex", s, e) for s, e in hex_runs(text)]
