@@ -1,23 +1,23 @@
 """Near-duplicate join on word 5-grams: MinHash banding, then exact verification.
 
-Documents with equal text collapse to one representative (smallest id) before anything else, by a grouped
-digest that is aggregated before it is shuffled. Each representative gets 100 MinHash values in ``BANDS`` = 20 bands of
+Documents with equal text collapse to one row, its digest their key, before anything else, by a grouped
+digest that is aggregated before it is shuffled. Each distinct text gets 100 MinHash values in ``BANDS`` = 20 bands of
 ``ROWS`` = 5: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996. Rows are shuffled on
-band hashes. Buckets with the same members in several bands are kept once. A bucket is cut into blocks of
-``BLOCK`` members and every pair of blocks is one verification task, so no task holds a whole bucket and no pair
+band hashes. Buckets with the same members in several bands are kept once. A bucket is cut into blocks of about
+``BLOCK`` members and ``BLOCK_BYTES`` of text at most and every pair of blocks is one verification task, so no task holds a whole bucket and no pair
 is ever a row: a task compares full n-gram sets and returns per-document link counts and
-one spanning edge per linked document. A pair that shares several bands is counted in the first of them.
+one spanning edge per linked document. A pair that shares several bands is counted in the first of them. Since
+every link counts, a bucket of m texts costs m^2 comparisons, and each of its texts travels once per block.
 
-Classes are the connected components of the links (together with equal texts), by alternating
-star contraction on the edges.
+Classes are the connected components of the links (together with equal texts), by minimum labels with pointer jumping.
 
 Result: doc_id, class_id (smallest id of the class), copies (other documents with an equal text), links (other distinct
 texts with similarity of at least the threshold).
 
 Edge cases: null text counts as empty; empty texts are copies of each other and link to nothing else; a text of fewer
-than five words is one n-gram, its word sequence; a text none of whose copies has an id has no class (null) and no
-links; repeated rows are copies; an empty table gives an empty result;
-extra columns are kept by ``keep_one``.
+than five words is one n-gram, its word sequence; very long texts are compared whole; documents without an id take part like
+others, and a class of them alone has a null class_id; different texts that share an id are different documents; repeated rows are copies; an empty table
+gives an empty result; extra columns of any name are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import durable, strings, text_or_empty
@@ -35,7 +35,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 20
 ROWS = 5
-BLOCK = 512
+BLOCK = 512  # texts
+BLOCK_BYTES = 8 << 20  # characters of text
 _SEED = 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -94,11 +95,12 @@ def _sign(batches):
     a, b = _coefficients(BANDS, ROWS)
     memo = _Words()
     for batch in batches:
-        keys = []
+        keys, sizes = [], []
         for text in strings(batch.column(2)):
             g = grams(text, WORDS, memo)
             keys.append(band_keys(g, a, b).view(np.int64).tolist() if len(g) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["digest", "doc_id", "keys"])
+            sizes.append(len(text))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["digest", "doc_id", "keys", "size"])
 
 
 def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -152,59 +154,77 @@ def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids[has], "links": links[has].astype(np.int64), "to": ids[root[has]]})
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _spot(doc_id: Column, digest: Column) -> Column:
+    """One string for an id and a text, as join key: neither shared ids nor many copies of a text make it common."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), digest)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: digest, rep (smallest id), n (documents), keys (band keys)."""
+    """One row per distinct text, written out: rep (its number), digest, least (smallest id), n (documents), size (characters), keys (band keys)."""
     text = text_or_empty("text")
-    signed = docs.select(F.sha2(text.cast("binary"), 256).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sign, "digest string, doc_id long, keys array<long>")
-    return signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    signed = docs.select(_digest(text).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sign, "digest string, doc_id long, keys array<long>, size long")
+    found = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    return durable(found.withColumn("rep", F.monotonically_increasing_id()))  # fixed once written
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(representatives, verified) where verified has rep, links, to: link counts and spanning edges, per task."""
-    reps = durable(representatives(docs))
-    banded = reps.filter("rep IS NOT NULL").select("rep", F.posexplode("keys").alias("band", "key"))
+    reps = representatives(docs)
+    banded = reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
     h = F.xxhash64("rep", F.lit(7))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(h).alias("y")).filter("m > 1")
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(h).alias("y")).filter("m > 1")
     # the same members in several bands: the earliest bucket stands for all
-    buckets = buckets.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "m")
-    members = banded.join(buckets, ["band", "key"])
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    buckets = buckets.groupBy("m", "size", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "m", F.col("size").alias("total"))
+    members = banded.drop("size").join(buckets, ["band", "key"])
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / block_bytes)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
     members = members.withColumns({"blocks": blocks, "mine": mine})
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("rep", "band", "key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty("text").alias("text"))
-    texts = texts.join(pairs.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    asked = pairs.select("rep").distinct().join(reps.select("rep", _spot(F.col("least"), F.col("digest")).alias("spot")), "rep")
+    text = text_or_empty("text")
+    texts = docs.select(_spot(F.col("doc_id").cast("long"), _digest(text)).alias("spot"), text.alias("text"))
+    texts = texts.join(asked, "spot").groupBy("spot", "rep").agg(F.min("text").alias("text")).drop("spot")
     held = pairs.join(texts, "rep")
     out = held.groupBy("band", "key", "bi", "bj").applyInPandas(lambda pdf: _verify(pdf, threshold), "rep long, links long, to long")
     return reps, durable(out)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, copies, links."""
-    reps, verified = link(docs, threshold, block)
+def groups(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per distinct text: digest, least, n, links, root (the number of its class), class_id."""
+    reps, verified = link(docs, threshold, block, block_bytes)
     roots = star_components(verified.select(F.col("rep").alias("src"), F.col("to").alias("dst")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("digest", "rep", "n").join(roots, F.col("rep") == F.col("id"), "left").drop("id").join(links, "rep", "left")
-    known = known.select("digest", F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1).alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    rows = docs.select("doc_id", F.sha2(text_or_empty("text").cast("binary"), 256).alias("digest"))
+    linked = reps.select("rep", "least").join(roots, F.col("rep") == F.col("id")).select("rep", "least", F.col("component").alias("root"))
+    class_of = linked.groupBy("root").agg(F.min("least").alias("class_id"))
+    linked = durable(linked.drop("least").join(class_of, "root"))
+    rows = reps.select("digest", "rep", "least", "n").join(linked, "rep", "left").join(links, "rep", "left")
+    class_id = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id"))
+    return rows.select("digest", "least", "n", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("root", "rep").alias("root"), class_id.alias("class_id"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, class_id, copies, links."""
+    known = groups(docs, threshold, block, block_bytes).select("digest", "class_id", (F.col("n") - 1).alias("copies"), "links")
+    rows = docs.select("doc_id", _digest(text_or_empty("text")).alias("digest"))
     return rows.join(known, "digest").select("doc_id", "class_id", "copies", "links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of every class one document, the one with the smallest id; of repeated rows one.
+    """Of every class one document, with its own columns: the one with the smallest id, or with the least digest where no text has an id.
 
-    Documents without an id stay, one of each text, if no document with an id has that text.
+    Of rows that share id and text one stays, the first by a hash of all columns.
     """
-    best = classes(docs, threshold).groupBy("class_id").agg(F.min("doc_id").alias("_keep")).filter("_keep IS NOT NULL").select("_keep").distinct()
-    one = lambda rows, key: rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter("_row = 1").drop("_row")
-    kept = one(docs.join(best, docs["doc_id"] == best["_keep"], "left_semi"), "doc_id")
-    nameless = docs.filter("doc_id IS NULL")
-    if nameless.head(1):
-        text_key = F.sha2(text_or_empty("text").cast("binary"), 256).alias("_text")
-        named = docs.filter("doc_id IS NOT NULL").select(text_key).distinct()
-        kept = kept.unionByName(one(nameless.select("*", text_key).join(named, "_text", "left_anti"), "_text").drop("_text"))
-    return kept.select(*docs.columns)
+    best = groups(docs, threshold).groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "digest")).alias("b"))
+    best = best.select(_spot(F.col("b.least"), F.col("b.digest")).alias("spot"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(_spot(F.col("doc_id").cast("long"), _digest(text_or_empty("text"))).alias("spot"), row.alias("row"))
+    kept = rows.join(best, "spot", "left_semi").groupBy("spot").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 #: All pairs of distinct texts with n-gram similarity of at least 0.8, by an inverted index instead of MinHash; then components.
 _NEAR = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-reps AS (SELECT text, min(doc_id) AS rep, count(*) AS n FROM d GROUP BY text),
+reps AS (SELECT text, min(doc_id) AS least, count(*) AS n, row_number() OVER (ORDER BY text) AS rep FROM d GROUP BY text),
 w AS (SELECT rep, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM reps),
 g AS (SELECT rep, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS gram FROM w),
@@ -13,7 +13,7 @@ p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM s a JOIN s b ON a.gram =
 l AS (SELECT x, y FROM p JOIN k kx ON kx.rep = x JOIN k ky ON ky.rep = y WHERE c / (kx.k + ky.k - c) >= 0.8),
 b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
-SELECT d.doc_id, least(rep, coalesce((SELECT min(y) FROM r WHERE r.x = rep), rep)) AS class_id, n - 1 AS copies,
+SELECT d.doc_id, least(least, (SELECT min(o.least) FROM r JOIN reps o ON o.rep = r.y WHERE r.x = reps.rep)) AS class_id, n - 1 AS copies,
        (SELECT count(*) FROM b WHERE b.x = rep) AS links
 FROM d JOIN reps USING (text)
 """
