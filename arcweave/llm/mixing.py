@@ -115,10 +115,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share id and source share the decision, so equal rows stay together.
     """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "source", own.alias("row"))
     p = plan(docs, **options)
-    times = p.groupBy("doc_id", "source").agg(F.max(F.col("epochs") + F.col("picked")).alias("_times")).withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"]))
-    return rows.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    times = p.groupBy("doc_id", "source").agg(F.max(F.col("epochs") + F.col("picked")).cast("int").alias("times")).withColumnsRenamed({"doc_id": "id", "source": "of"})
+    rows = rows.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))).filter("times > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
