@@ -173,6 +173,38 @@ def test_fingerprints_follow_generalised_jaccard(spark):
     assert rows[ids[-3]].fingerprint == rows[ids[-4]].fingerprint != rows[ids[-1]].fingerprint
 
 
+def brute_samples(text, samples):
+    """The word and step of least a for every sample, one pair at a time."""
+    import math
+
+    import xxhash
+
+    bag, out = Counter((text or "").split() or [""]), []
+    for k in range(samples):
+        best = None
+        for word, w in bag.items():
+            h = xxhash.xxh64_intdigest(word.encode(), 42)
+            h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+            u = [((h >> s & 4095) + 0.5) / 4096 for s in (0, 12, 24, 36)]
+            r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), ((h >> 48) + 0.5) / 65536
+            t = math.floor(math.log(w) / r + b)
+            best = min(best or (math.inf,), (math.log(c) - r * (t - b + 1), word, t))
+        out.append(best[1:])
+    return out
+
+
+def test_fingerprints_match_one_pair_at_a_time(spark):
+    texts = prose(25, 21, 0, 120) + [None, "solo solo solo"]
+    rows = {r.doc_id: r for r in fingerprints.digest(docs_of(spark, texts)).collect()}
+    n = fingerprints.SAMPLES
+    signed = [brute_samples(t, n) for t in texts]
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        edited = brute_samples(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2], n)
+        same = lambda x: sum(a == b for a, b in zip(signed[i], x, strict=True)) / n  # noqa: E731,B023
+        assert (rows[i].near_edited, rows[i].near_next) == (same(edited), same(signed[(i + 1) % len(texts)]))
+
+
 def test_fingerprint_edges(spark):
     assert fingerprints.digest(docs_of(spark, [])).count() == 0
     one = fingerprints.digest(docs_of(spark, ["a b c d"])).first()
@@ -247,6 +279,41 @@ def test_keep_one(spark, copies):
     assert sorted((r.doc_id or 0, r.text) for r in neardup.keep_one(odd).collect()) == [(0, "x"), (3, "a b c d e f")]
 
 
+def test_texts_that_share_an_id(spark):
+    b = " ".join(f"w{i}" for i in range(60))
+    d = docs_of(spark, ["quite another text of some words", b, b + " more"], [1, 1, 2])
+    rows = {(r.doc_id, r.class_id, r.copies, r.links) for r in neardup.classes(d).collect()}
+    assert rows == {(1, 1, 0, 0), (1, 1, 0, 1), (2, 1, 0, 1)}
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(d).collect()) == sorted([(1, "quite another text of some words"), (1, b)])
+
+
+def test_near_copies_without_ids(spark):
+    b = " ".join(f"w{i}" for i in range(60))
+    d = docs_of(spark, [b, b + " more", b, "else", b + " yet"], [None, None, None, None, 7])
+    rows = sorted((r.doc_id or 0, r.class_id or 0, r.copies, r.links) for r in neardup.classes(d).collect())
+    assert rows == [(0, 0, 0, 0), (0, 7, 0, 2), (0, 7, 1, 2), (0, 7, 1, 2), (7, 7, 0, 2)]
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.keep_one(d).collect()) == [(0, "else"), (7, b + " yet")]
+    nameless = docs_of(spark, [b, b + " more"], [None, None])
+    assert [r.class_id for r in neardup.classes(nameless).collect()] == [None, None] and neardup.keep_one(nameless).count() == 1
+
+
+def test_clashing_columns(spark):
+    names = ["_row", "_keep", "_text", "_times", "_source", "_id", "_copy", "spot", "row", "id", "of", "times", "digest", "rep", "text.size"]
+    d = docs_of(spark, ["a b c d e f"] * 3 + ["x y"], [1, 2, 3, 4], ["a", "a", "b", None])
+    for n in names:
+        d = d.withColumn(n, F.lit(n))
+    kept, mixed = neardup.keep_one(d), mixing.mix(d)
+    assert kept.columns == mixed.columns == d.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    first = mixed.first()
+    assert all(first[n] == n for n in names)
+
+
+def test_blocks_are_bounded_by_text(spark, copies):
+    rows = neardup.classes(docs_of(spark, copies), block_bytes=2000).collect()
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in rows} == brute_classes(copies)
+
+
 # repeated substrings
 
 
@@ -291,6 +358,16 @@ def test_repeats_edges(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in twice) == [(-1, 0), (4, 300), (4, 300)]
 
 
+def test_repeats_of_texts_that_polynomials_confuse(spark):
+    a, b = thue_morse(1024, "a", "b")
+    rows = [(1, a), (2, b), (3, a[:500] + "xy" + b[500:]), (4, thue_morse(2048, "c", "d")[0]), (5, thue_morse(2048, "c", "d")[1])]
+    d = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    for limit in (substrings.KEY_LIMIT, 2):
+        found = substrings.removed(d, key_limit=limit).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_repeats(rows, 100)
+    assert len(set(substrings._hashes(np.frombuffer((a + b).encode(), np.uint8), 1024, substrings._S1)[[0, 1024]].tolist())) == 2
+
+
 def test_repeated_rows_keep_what_occurs_nowhere_else(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
@@ -338,6 +415,36 @@ def test_top_k_edges(spark):
     assert [i for _, i in tree.search(np.ones(3), 0, 5)] == [1, 2, 3, 4, 5]
 
 
+def test_top_k_large_values(spark):
+    low, high = -(2**63), 2**63 - 1
+    data = [(0, [4e6] * 3), (1, [3e6] * 3), (2, [-4e6] * 3), (3, [3e38] * 3), (4, [1e300] * 3), (5, [1.0] * 3)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    v = {i: [max(low, min(high, int(np.floor(1024 * x)) if x < 1e18 else high)) for x in e] for i, e in data}
+    expected = sorted((-max(low, min(high, sum(a * b for a, b in zip(v[0], v[j], strict=True)))), j) for j in v if j)
+    for shard_rows in (8192, 2):
+        rows = knn.top_k(d, F.col("vec_id") % 100 == 0, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(-r.score, r.vec_id) for r in rows] == expected
+
+
+def test_boxes_leave_out_far_shards(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(4000, 3)) * 1000).astype(np.int64)
+    axis, cut = knn.splits(x, 5)
+    cell = knn.cell_of(x, axis, cut)
+    sizes = np.bincount(cell)[31:]
+    assert sizes.sum() == 4000 and sizes.min() > 100 and sizes.max() < 150
+    import pandas as pd
+
+    boxes = pd.DataFrame({"lo": [x[cell == c].min(0) for c in range(31, 63)], "hi": [x[cell == c].max(0) for c in range(31, 63)], "shard": range(31, 63), "part": 0})
+    scores = x[:20] @ x.T
+    kth = np.sort(scores, 1)[:, -10]
+    asked = pd.DataFrame({"vec_id": range(20), "v": list(x[:20]), "kth": kth, "shard": -1, "part": 0})
+    met = knn._reachable(boxes, asked)
+    assert len(met) < 20 * 32 / 2
+    for q in range(20):
+        assert set(cell[scores[q] >= kth[q]]) <= set(met.shard[met.vec_id == q])
+
+
 # packing
 
 
@@ -354,6 +461,23 @@ def test_tokens_equal_library(encoder):
     assert [x.tolist() for x in encoder.encode(texts)] == expected
 
 
+def thue_morse(n, a, b):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_tokens_of_words_that_polynomials_confuse(encoder):
+    texts = [w for n in (64, 1024, 4096) for w in thue_morse(n, "a", "b")] + ["q" * 70, "q" * 71, "abcdefgh", "abcdefghi"]
+    text = " ".join(texts)
+    assert encoder.encode([text])[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_beyond_sixteen_bits():
+    for ids in ([], [1, 2], [65_535], [65_536, 1]):
+        data = packing.narrow(np.array(ids, np.uint32))
+        assert packing.widened(data).tolist() == ids and len(data) == 1 + len(ids) * (4 if max(ids, default=0) > 65_535 else 2)
+
+
 def test_pack_properties():
     rng = random.Random(13)
     for _ in range(500):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -122,6 +123,36 @@ def test_secret_digest(spark):
     assert secrets.scan(docs_of(spark, ["token=abcdef"])).first().spans[0].kind == "assign"
 
 
+def seconds(run):
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "a(at)", "a.", "a@", "+1 ", "1.", "1.1.1.1 a@b.co ", "4111 1111 1111 1111 555-123-4567 ", "Mr Aa ", "x (at) a ", "GB82 WEST "])
+def test_personal_data_in_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+
+    def run():
+        pii.candidates(text, pii.base_spans(text))
+
+    assert seconds(run) < 4  # quadratic time would be hours
+    assert pii.base_spans(text[:3000]) == plain_base(text[:3000])
+
+
+def test_spelled_addresses_as_one_pattern():
+    whole = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
+    for t in random_texts(3000, ["a", "b.c", " ", "(at)", "[at]", "(dot)", ".", "org", "{at}", "-"], 6):
+        assert list(pii._with_local_part(t, pii._SPELLED)) == [m.span() for m in whole.finditer(t)], t
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJhbGciOiJIUzI1NiJ9.", "a", "f", "password", "token= ", "AKIA", "ghp_", "-----BEGIN ", "secret:a "])
+def test_secrets_in_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    assert seconds(lambda: secrets.find(text)) < 4
+    assert secrets.find(text[:3000])[0] == plain_secrets(text[:3000])
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(5)
