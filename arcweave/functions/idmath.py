@@ -13,11 +13,13 @@ def _col(x) -> Column:
 
 
 def rotr32(id_: Column, r: int) -> Column:
-    """Rotate a 32-bit id right by r: an injective priority that differs from round to round."""
+    """Rotate the low 32 bits of an id right by r; the high ones stay: an injective priority that differs from round to round."""
     r %= 32
     if r == 0:
         return id_
-    return F.shiftrightunsigned(id_, r).bitwiseOR(F.shiftleft(id_, 32 - r).bitwiseAND(F.lit(MASK32)))
+    low = id_.bitwiseAND(F.lit(MASK32))
+    turned = F.shiftright(low, r).bitwiseOR(F.shiftleft(low, 32 - r).bitwiseAND(F.lit(MASK32)))
+    return id_.bitwiseAND(F.lit(~MASK32)).bitwiseOR(turned)
 
 
 def rotl32(id_: Column, r: int) -> Column:
@@ -26,8 +28,8 @@ def rotl32(id_: Column, r: int) -> Column:
 
 def floordiv(a, b) -> Column:
     """Quotient rounded towards minus infinity."""
-    a, b = _col(a), _col(b)
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    a, b = _col(a).cast("long"), _col(b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def ceildiv(a, b) -> Column:

@@ -16,7 +16,7 @@ KINDS = ("single", "cyclic", "block_cyclic", "trivial_slice", "balanced_slice",
 
 def _div(a: Column, b) -> Column:
     b = F.lit(b) if not isinstance(b, Column) else b
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", (a - F.pmod(a, b)).cast("long"), b.cast("long"))
 
 
 @dataclass(frozen=True)

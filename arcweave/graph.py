@@ -49,7 +49,8 @@ class Digraph:
         edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         if vertices is None:
             if n is None:
-                n = (edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1 if edges.head(1) else 0
+                top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+                n = 0 if top is None else top + 1
             vertices = edges.sparkSession.range(n)
         return cls(vertices.select(F.col("id").cast("long").alias("id")), edges)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.durable import durable
-from arcweave.functions.idmath import rotr32
+from arcweave.functions.idmath import MASK32, rotr32
 from arcweave.graph import Digraph
 from arcweave.operators import kernels
 from arcweave.operators.trim import LOCAL_EDGES, live_edges
@@ -17,7 +17,8 @@ from arcweave.operators.trim import LOCAL_EDGES, live_edges
 
 def _rotate(ids: np.ndarray, r: int) -> np.ndarray:
     r %= 32
-    return ((ids >> r) | ((ids << (32 - r)) & 0xFFFFFFFF)) if r else ids
+    low = ids & MASK32
+    return (ids & ~MASK32) | (low >> r) | ((low << (32 - r)) & MASK32) if r else ids
 
 
 def color_round(g: Digraph, undecided: DataFrame | None = None, priority: Callable[[Column], Column] | None = None, rotation: int = 0, mode: str = "min", local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -25,7 +26,7 @@ def color_round(g: Digraph, undecided: DataFrame | None = None, priority: Callab
 
     label(v) is the least (``min``) or greatest (``max``) priority among the vertices that reach v; v is
     decided if it also reaches that vertex, and then lies in its component. ``priority`` must be injective; the default rotates
-    ids of 32 bits by ``rotation``. A label only travels while it improves, so work follows the changes.
+    the low 32 bits of ids by ``rotation``. A label only travels while it improves, so work follows the changes.
     """
     vertices = (g.vertices if undecided is None else undecided).select("id")
     edges = live_edges(g.edges, undecided).filter("src <> dst")

@@ -60,20 +60,28 @@ def _peel_side(vertices: DataFrame, edges: DataFrame, gone: DataFrame | None) ->
     return durable(out)
 
 
-def trim_exhaustive(g: Digraph, undecided: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Peel sources to a fixpoint, then sinks, among the undecided vertices."""
+def trim_exhaustive(g: Digraph, undecided: DataFrame | None = None, local_edges: int = LOCAL_EDGES, sides: tuple[str, ...] = ("in", "out")) -> DataFrame:
+    """Peel sources to a fixpoint (``in``), then sinks (``out``), among the undecided vertices; ``sides`` may name one of the two."""
     vertices = (g.vertices if undecided is None else undecided).select("id")
     edges = live_edges(g.edges, undecided)
     if kernels.fits(edges, local_edges):
 
         def stay(src, dst):
             ids, a, b = kernels.compact(src, dst)
-            return {"id": ids[~kernels.peel(len(ids), a, b)]}
+            return {"id": ids[~kernels.peel(len(ids), a, b, sides)]}
 
         return vertices.join(kernels.one_task(edges, stay, "id long"), "id", "left_anti")
-    sources = _peel_side(vertices, edges, None)
-    sinks = _peel_side(vertices, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), sources)
-    return sources.unionByName(sinks)
+    gone = None
+    for side in sides:
+        new = _peel_side(vertices, edges if side == "in" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), gone)
+        gone = new if gone is None else gone.unionByName(new)
+    return gone
+
+
+def trim_onward(g: Digraph, decided: DataFrame, undecided: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """What follows once ``decided(id)`` has left: sources to a fixpoint, then sinks, among the other undecided vertices."""
+    vertices = (g.vertices if undecided is None else undecided).select("id")
+    return trim_exhaustive(g, vertices.join(decided.select("id"), "id", "left_anti"), local_edges)
 
 
 def live_degrees(g: Digraph, undecided: DataFrame) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions import idmath
-from arcweave.functions.partition import Partition, local_edges
+from arcweave.functions.durable import checkpoint_dir
+from arcweave.functions.partition import Partition, distribute, local_edges, slice_of
 from arcweave.graph import FIXTURE_SQL, FIXTURES, Digraph
 from arcweave.operators import color, components, pivot, reach, structure, tarjan, trim
 from arcweave.plans import scc as plans
@@ -77,14 +77,12 @@ def _partitioned(kind: str) -> Query:
 def _round_trip(sort: str, fixture: str = "g_size8") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = Digraph.from_tables(spark, sf_dir, fixture)
-        folder = os.path.join(tempfile.mkdtemp(prefix="arcweave-"), "out")
+        folder = f"{checkpoint_dir(spark)}/arcweave/{sort}-{uuid.uuid4().hex}"
         if sort == "text":
-            from arcweave.functions.durable import checkpoint_dir
-
-            folder = f"{checkpoint_dir(spark)}/arcweave/text-{os.path.basename(os.path.dirname(folder))}"
             edge_list.write_edge_list(g.edges, folder)
             back = edge_list.read_edge_list(spark, folder)
-        else:
+        else:  # plain files, so the shared folder must be a mounted one
+            folder = folder.removeprefix("file://").removeprefix("file:")
             back = packed.read_packed_csr(spark, packed.write_packed_csr(g.edges, folder, endian=sort), rows=256).edges
         return back.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -105,6 +103,12 @@ def _plan(name: str) -> Query:
     return _g(PLAN_FIXTURES[name], lambda g: plans.scc(g, name, residual_edges=0))
 
 
+def _steps(name: str) -> Query:
+    """Supersteps in every stage; plans that end in a sequential stage reach it only once nothing but a hundred edges is left."""
+    few = 100 if name.endswith("residual") else 0
+    return _g("g_size8", lambda g: plans.scc(g, name, residual_edges=few, local_edges=0, pure=True))
+
+
 def _live_degrees(g: Digraph) -> DataFrame:
     left = g.vertices.join(trim.trim_exhaustive(g), "id", "left_anti")
     return trim.live_degrees(g, left)
@@ -145,6 +149,31 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(truth, "id").agg(F.count("*").alias("n"), F.sum((F.col("found") == F.col("scc")).cast("long")).alias("equal"))
 
 
+def _onward(g: Digraph) -> DataFrame:
+    return trim.trim_onward(g, trim.trim_first(g))
+
+
+def _problems(g: Digraph) -> DataFrame:
+    """What is wrong with the graph once every third vertex is taken out."""
+    found = Digraph(_ids_mod3(g), g.edges).validate()
+    return g.spark.createDataFrame([(x,) for x in found], "problem string")
+
+
+def _comparison(g: Digraph) -> DataFrame:
+    return structure.compare_labels(_labels(g), components.wcc(g).withColumnRenamed("wcc", "scc"))
+
+
+def _label_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component names, one a line in the order of the vertices, and how often each is there."""
+    folder = f"{checkpoint_dir(spark)}/arcweave/labels-{uuid.uuid4().hex}"
+    edge_list.write_labels(_labels(Digraph.from_tables(spark, sf_dir, "g_brand")), folder)
+    return spark.read.text(folder).groupBy(F.col("value").cast("long").alias("scc")).agg(F.count("*").alias("size"))
+
+
+def _balanced_part(g: Digraph) -> Partition:
+    return Partition("balanced_slice", g.vertices.count(), _RANKS)
+
+
 QUERIES: dict[str, Query] = {
     "edges_multi": _g("g_size8", lambda g: g.edges),
     "edges_distinct": _g("g_size8", lambda g: g.edges.distinct()),
@@ -160,6 +189,11 @@ QUERIES: dict[str, Query] = {
     "adjacency_lists": _g("g_size8", lambda g: structure.adjacency_lists(g).select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))),
     **{f"part_{k}": _partitioned(k) for k in ("single", "cyclic", "block_cyclic", "trivial_slice", "balanced_slice", "explicit_continuous", "explicit_sorted")},
     "part_local_m": _g("g_size8", lambda g: local_edges(g.edges, Partition("balanced_slice", g.vertices.count(), _RANKS))),
+    "part_edges": _g("g_size8", lambda g: distribute(g.edges, _balanced_part(g))),
+    "part_slice": _g("g_size8", lambda g: slice_of(g.edges, _balanced_part(g), 2)),
+    "graph_validation": _g("g_size8", _problems),
+    "label_comparison": _g("g_brand", _comparison, keep=True),
+    "label_sink_roundtrip": _label_sink,
     "sub_ids": _g("g_size8", lambda g: structure.sub_ids(_ids_mod3(g))),
     "induced_subgraph": _g("g_size8", lambda g: structure.induced_subgraph(g, _ids_mod3(g)).edges),
     "induced_subgraph_compact": _g("g_size8", lambda g: structure.induced_subgraph(g, _ids_mod3(g), compact=True)[0].edges),
@@ -167,6 +201,9 @@ QUERIES: dict[str, Query] = {
     "trim_1_normal": _g("g_brand", trim.trim_normal),
     "trim_1_either": _g("g_brand", lambda g: trim.trim_normal(g, mode="either")),
     "trim_exhaustive": _g("g_brand", trim.trim_exhaustive, keep=True),
+    "trim_sources": _g("g_brand", lambda g: trim.trim_exhaustive(g, sides=("in",)), keep=True),
+    "trim_sinks": _g("g_brand", lambda g: trim.trim_exhaustive(g, sides=("out",)), keep=True),
+    "trim_onward": _g("g_brand", _onward, keep=True),
     "live_degrees_after_trim": _g("g_type", _live_degrees, keep=True),
     "pivot_static": _g("g_size8", pivot.ranked),
     "pivot_live": _g("g_size8", lambda g: pivot.ranked(g, g.vertices.join(trim.trim_exhaustive(g), "id", "left_anti"), live=True), keep=True),
@@ -198,11 +235,27 @@ QUERIES: dict[str, Query] = {
     "planted_check": _planted,
 }
 
+#: The distributed supersteps alone, whatever the size of the graph: ``<name>_steps``, with the SQL of ``<name>``.
+STEPS: dict[str, Query] = {
+    "trim_exhaustive_steps": _g("g_brand", lambda g: trim.trim_exhaustive(g, local_edges=0), keep=True),
+    "trim_sources_steps": _g("g_brand", lambda g: trim.trim_exhaustive(g, local_edges=0, sides=("in",)), keep=True),
+    "reach_fw_steps": _g("g_size8", lambda g: reach.reach(g, _root(g), local_edges=0), keep=True),
+    "reach_bw_steps": _g("g_size8", lambda g: reach.reach(g, _root(g), "bw", local_edges=0), keep=True),
+    "bfs_levels_steps": _g("g_giant", lambda g: reach.reach(g, _root(g), levels=True, local_edges=0), keep=True),
+    "fb_component_steps": _g("g_type", lambda g: reach.forward_backward(g, pivot.select_pivot(g), local_edges=0), keep=True),
+    "color_labels_steps": _color("g_brand", local_edges=0),
+    "color_rot1_labels_steps": _color("g_size8", rotation=1, local_edges=0),
+    "color_max_labels_steps": _color("g_type", mode="max", local_edges=0),
+    "color_round1_decided_steps": _g("g_size8", lambda g: color.color_round(g, local_edges=0).filter("decided").select("id", F.col("seed").alias("scc")), keep=True),
+    **{f"scc_{name}_steps": _steps(name) for name in plans.PLANS if name != "tarjan"},
+}
+QUERIES |= STEPS
+
 #: Queries that read no edges, or all of them already.
 _NO_CUT = {"duplicate_edges", "degree_histogram", "max_degree_stats", "sub_ids", *(n for n in QUERIES if n.startswith("part_") and n != "part_local_m")}
 
 #: The same operators over all edges, none filtered out: ``<name>_whole``.
-WHOLE: dict[str, Query] = {f"{n}_whole": q.on("g_dense") for n, q in QUERIES.items() if hasattr(q, "on") and n not in _NO_CUT}
+WHOLE: dict[str, Query] = {f"{n}_whole": q.on("g_dense") for n, q in QUERIES.items() if hasattr(q, "on") and n not in _NO_CUT and n not in STEPS}
 QUERIES |= WHOLE
 
 
@@ -301,8 +354,19 @@ def _oracles() -> dict[str, str]:
         "stage_stats": "SELECT count(*) AS decided, 0::BIGINT AS undecided FROM part",
     }
     multi = _with("g_size8") + "SELECT u AS src, v AS dst, count(*) AS n FROM m GROUP BY u, v"
+    sql |= {
+        "trim_sources": _with("g_brand", _CLOSURE, _CYC) + "SELECT id FROM vs WHERE id NOT IN (SELECT id FROM cyc) AND NOT EXISTS (SELECT 1 FROM r JOIN cyc ON r.u = cyc.id WHERE r.v = vs.id)",
+        "trim_sinks": _with("g_brand", _CLOSURE, _CYC) + "SELECT id FROM vs WHERE id NOT IN (SELECT id FROM cyc) AND NOT EXISTS (SELECT 1 FROM r JOIN cyc ON r.v = cyc.id WHERE r.u = vs.id)",
+        "trim_onward": _with("g_brand", _DEG, _CLOSURE, _CYC, _STAY) + "SELECT id FROM vs WHERE id NOT IN (SELECT id FROM stay) AND id NOT IN (SELECT id FROM deg WHERE in_deg = 0 OR out_deg = 0)",
+        "part_edges": _with("g_size8") + f"SELECT u AS src, v AS dst, CAST(r AS BIGINT) AS rank FROM (SELECT u, v, {_balanced('u')} AS r FROM (SELECT u, v, {_N} AS n FROM m))",
+        "part_slice": _with("g_size8") + f"SELECT u AS src, v AS dst FROM (SELECT u, v, {_balanced('u')} AS r FROM (SELECT u, v, {_N} AS n FROM m)) WHERE r = 2",
+        "graph_validation": _with("g_size8", "s AS (SELECT id FROM vs WHERE id % 3 <> 0)") + "SELECT 'vertex ids are not exactly 0..n-1' AS problem WHERE (SELECT min(id) <> 0 OR max(id) <> count(*) - 1 FROM s) UNION ALL SELECT 'an edge end is not a vertex' WHERE EXISTS (SELECT 1 FROM m WHERE u NOT IN (SELECT id FROM s) OR v NOT IN (SELECT id FROM s))",
+        "label_comparison": _with("g_brand", _CLOSURE, _SCC, "b AS (SELECT u, v FROM e UNION SELECT v, u FROM e)", "c(u, v) AS (SELECT id, id FROM vs UNION SELECT c.u, b.v FROM c JOIN b ON b.u = c.v)", "w2 AS (SELECT u AS id, min(v) AS wcc FROM c GROUP BY u)", "d AS (SELECT min(id) AS id FROM scc JOIN w2 USING (id) WHERE scc <> wcc)") + "SELECT id, scc AS found, wcc AS expected FROM scc JOIN w2 USING (id) WHERE id BETWEEN (SELECT id FROM d) - 25 AND (SELECT id FROM d) + 25",
+        "label_sink_roundtrip": _scc_sql("g_brand", "SELECT scc, count(*) AS size FROM scc GROUP BY scc"),
+    }
     sql |= {"edge_list_roundtrip": multi, "packed_csr_roundtrip": multi, "packed_csr_roundtrip_big": multi}
-    return sql | {f"scc_{name}": _scc_sql(fixture) for name, fixture in PLAN_FIXTURES.items()}
+    sql |= {f"scc_{name}": _scc_sql(fixture) for name, fixture in PLAN_FIXTURES.items()}
+    return sql | {n: _scc_sql("g_size8") if n.startswith("scc_") else sql[n.removesuffix("_steps")] for n in STEPS}
 
 
 def whole_sql(sql: str) -> str:

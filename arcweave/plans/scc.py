@@ -31,14 +31,14 @@ PLANS: dict[str, tuple] = {
     "peel_residual": ("trim_exhaustive", "forward_backward_live", "trim_exhaustive", ("until_small", "color", "trim_exhaustive"), "residual"),
     "eager_rounds": ("trim_first", "forward_backward", "trim_normal", ("loop", "color_unrotated")),
     "tarjan": ("residual",),
-    "weak_split": ("trim_first", "forward_backward", "trim_either", "trim_either", "weak_residual"),
+    "weak_split": ("trim_first", "forward_backward", "trim_either", "trim_either", "weak_residual", ("loop", "color")),
     "max_color": ("forward_backward", ("loop", "color_max")),
 }
 
 
 class _Run:
-    def __init__(self, g: Digraph, plan: str, residual_edges: int, local_edges: int):
-        self.plan, self.residual_edges, self.local_edges = plan, residual_edges, local_edges
+    def __init__(self, g: Digraph, plan: str, residual_edges: int, local_edges: int, pure: bool = False):
+        self.plan, self.residual_edges, self.local_edges, self.pure = plan, residual_edges, local_edges, pure
         self.g = Digraph(durable(g.vertices), durable(g.edges))  # with multiplicity, for degrees
         self.undecided, self.live = self.g.vertices, durable(self.g.edges.filter("src <> dst").distinct())
         self.left = self.undecided.count()
@@ -62,6 +62,10 @@ class _Run:
     def small(self) -> bool:
         return kernels.fits(self.live, self.residual_edges)
 
+    def most(self) -> int:
+        """Edges that a plan's own sequential stage takes."""
+        return self.residual_edges if self.pure else self.residual_edges or RESIDUAL_EDGES
+
     def stage(self, name: str) -> None:
         began = time.time()
         with self.metrics.scope(name):
@@ -90,7 +94,10 @@ class _Run:
             return found.filter("decided").select("id", F.col("seed").alias("scc"))
         if name == "weak_residual":
             weak = durable(components.wcc(self.graph()))
-            return tarjan.tarjan_by_group(weak, self.live, "wcc")
+            # a weak component with more edges than a task may hold is left to the rounds that follow
+            sizes = tarjan.within(weak, self.live, "wcc").groupBy(F.col("_g").alias("wcc")).agg(F.count("*").alias("edges"))
+            large = sizes.filter(F.col("edges") > tarjan.MOST_EDGES).select("wcc")
+            return tarjan.tarjan_by_group(durable(weak.join(large, "wcc", "left_anti")), self.live, "wcc")
         return tarjan.tarjan(self.graph())
 
     def run(self, stages: tuple) -> None:
@@ -99,11 +106,11 @@ class _Run:
                 return
             if isinstance(s, tuple):
                 self.loop(s)
-            elif s == "residual" and self.live.limit(max(self.residual_edges, RESIDUAL_EDGES) + 1).count() > max(self.residual_edges, RESIDUAL_EDGES):
+            elif s == "residual" and not kernels.fits(self.live, self.most()):
                 self.loop(("until_small", "color"))  # too much for one task yet
                 if self.left:
                     self.stage("residual")
-            elif self.residual_edges and s != "trim_first" and self.small():
+            elif self.residual_edges and not self.pure and s != "trim_first" and self.small():
                 self.stage("residual")
                 return
             else:
@@ -111,7 +118,7 @@ class _Run:
 
     def loop(self, s: tuple) -> None:
         while self.left:
-            if (self.residual_edges or s[0] == "until_small") and kernels.fits(self.live, self.residual_edges or RESIDUAL_EDGES):
+            if ((self.residual_edges and not self.pure) or s[0] == "until_small") and kernels.fits(self.live, self.most()):
                 if s[0] == "loop":
                     self.stage("residual")
                 return
@@ -120,15 +127,16 @@ class _Run:
                     self.stage(inner)
 
 
-def scc(g: Digraph, plan: str = "default", normalise: bool = True, residual_edges: int = RESIDUAL_EDGES, local_edges: int = trim.LOCAL_EDGES, stats: list | None = None, metrics: Metrics | None = None) -> DataFrame:
+def scc(g: Digraph, plan: str = "default", normalise: bool = True, residual_edges: int = RESIDUAL_EDGES, local_edges: int = trim.LOCAL_EDGES, stats: list | None = None, metrics: Metrics | None = None, pure: bool = False) -> DataFrame:
     """id, scc for every vertex. ``stats`` gets one row per stage; ``normalise=False`` keeps the plan's own names.
 
     ``residual_edges``: from when on the rest goes to the sequential kernel (0: never, for a pure plan);
-    ``local_edges``: up to when a single operator runs as an array kernel (0: never).
+    ``local_edges``: up to when a single operator runs as an array kernel (0: never);
+    ``pure``: the sequential kernel runs only as the stage that a plan itself names, once ``residual_edges`` or fewer are live.
     """
     if plan not in PLANS:
         raise ValueError(f"unknown plan {plan}; known: {', '.join(PLANS)}")
-    run = _Run(g, plan, residual_edges, local_edges)
+    run = _Run(g, plan, residual_edges, local_edges, pure)
     with run.metrics.scope("scc"):
         run.run(PLANS[plan])
     if stats is not None:

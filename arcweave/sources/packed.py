@@ -187,11 +187,41 @@ def read_packed_csr(spark: SparkSession, manifest: str, **options) -> Digraph:
     return Digraph(spark.range(Manifest.load(manifest).node_count), reader.load(manifest))
 
 
+def _writer(path: str, width: int, endian: str):
+    """Rows (pos, value) in order into their places in a file that is there already; again if a task runs again."""
+
+    def run(batches):
+        written = 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                pos, value = (b.column(i).to_numpy() for i in (0, 1))
+                cuts = np.flatnonzero(np.diff(pos) != 1) + 1
+                for p, v in zip(np.split(pos, cuts), np.split(value, cuts), strict=True):
+                    if len(p):
+                        f.seek(int(p[0]) * width)
+                        f.write(pack(v, width, endian))
+                written += len(pos)
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    return run
+
+
+def _write_array(rows: DataFrame, path: str, count: int, width: int, endian: str) -> None:
+    with open(path, "xb") as f:
+        f.truncate(count * width)
+    if count:
+        done = rows.repartitionByRange("pos").sortWithinPartitions("pos").mapInArrow(_writer(path, width, endian), "written long")
+        if (written := done.groupBy().sum("written").first()[0]) != count:
+            raise ManifestError(f"{path}: {written} of {count} values written")
+
+
 def write_packed_csr(edges: DataFrame, folder: str, name: str = "graph", endian: str = "little", n: int | None = None) -> str:
     """Write the four arrays and the manifest into ``folder`` (never over existing files); returns the manifest's path.
 
-    The format is one file per array, so sorted edges stream through the driver, one Spark partition at a time.
+    The format is one file per array: every task writes its own stretch of positions in place, so nothing passes through the
+    driver. The folder must be mounted on the driver and all executors.
     """
+    from arcweave.operators.structure import csr_edges, csr_head
     from arcweave.sources.edge_list import convert_stats
 
     stats = convert_stats(edges)
@@ -200,19 +230,10 @@ def write_packed_csr(edges: DataFrame, folder: str, name: str = "graph", endian:
     os.makedirs(folder, exist_ok=True)
     n, m = stats["node_count"], stats["edge_count"]
     head_bytes, csr_bytes = bytes_for(m), bytes_for(max(0, n - 1))
-    for direction, keys in (("fw", ("src", "dst")), ("bw", ("dst", "src"))):
-        degree = np.zeros(n + 1, np.int64)
-        with open(f"{folder}/{name}.{direction}.csr.bin", "xb") as f:
-            batch: list[int] = []
-            for row in edges.select(*keys).orderBy(*keys).toLocalIterator(prefetchPartitions=True):
-                degree[row[0] + 1] += 1
-                batch.append(row[1])
-                if len(batch) == 1 << 16:
-                    f.write(pack(np.array(batch), csr_bytes, endian))
-                    batch = []
-            f.write(pack(np.array(batch, np.int64), csr_bytes, endian))
-        with open(f"{folder}/{name}.{direction}.head.bin", "xb") as f:
-            f.write(pack(np.cumsum(degree), head_bytes, endian))
+    g = Digraph.from_edges(edges, n=n)
+    for direction, side in (("fw", g), ("bw", g.transpose())):
+        _write_array(csr_edges(side).select("pos", "v"), f"{folder}/{name}.{direction}.csr.bin", m, csr_bytes, endian)
+        _write_array(csr_head(side).select("pos", "off"), f"{folder}/{name}.{direction}.head.bin", n + 1, head_bytes, endian)
     files = [f"{folder}/{name}.{d}.{a}.bin" for d in ("fw", "bw") for a in ("head", "csr")]
     manifest = Manifest(1, name, name, endian, n, m, stats["contains_self_loops"], stats["contains_duplicate_edges"], head_bytes, csr_bytes, *files)
     path = f"{folder}/{name}.manifest"

@@ -1,11 +1,13 @@
 """Golden graphs, structural operators and edge cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arcweave.graph import Digraph
-from arcweave.operators import color, components, pivot, reach, structure, tarjan, trim
+from arcweave.operators import color, components, kernels, pivot, reach, structure, tarjan, trim
 from arcweave.plans.scc import PLANS, scc, stage_stats
+from arcweave.sources import generators
 
 TINY = [(0, 2), (1, 0), (1, 2), (1, 3), (2, 0), (3, 2), (3, 4), (4, 1), (4, 3), (5, 6), (6, 5)]
 SIX = [(0, 3), (0, 4), (1, 2), (1, 4), (1, 5), (2, 4), (4, 1), (4, 3), (4, 5), (5, 0)]
@@ -54,6 +56,51 @@ def test_pure_supersteps_give_the_components(tiny):
     assert labels(scc(tiny, "max_color", residual_edges=0, local_edges=0)) == [0, 1, 0, 1, 1, 5, 5]
 
 
+@pytest.mark.parametrize("plan", ["default", "peel_residual", "weak_split"])
+def test_pure_supersteps_find_planted_components(spark, plan):
+    truth, src, dst = generators.planted(60, 1.5, 7)
+    g = graph(spark, list(zip(src.tolist(), dst.tolist(), strict=True)), 60).materialise()
+    assert labels(scc(g, plan, residual_edges=5, local_edges=0, pure=True)) == truth.tolist()
+
+
+def test_ids_beyond_32_bits(spark):
+    big = 2**32
+    edges = [(1, 3), (3, 1), (big, big + 2), (big + 2, big)]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ids = spark.createDataFrame([(1,), (3,), (big,), (big + 2,)], "id long")
+    g = Digraph.from_edges(spark.createDataFrame(edges, "src long, dst long"), ids)
+    for rotation in (0, 1, 31):
+        found = rows(color.color_round(g, rotation=rotation))
+        assert found == rows(color.color_round(g, rotation=rotation, local_edges=0)) and len(found) == 4
+        assert len({r[2] for r in found}) == 2 and all(r[3] for r in found)
+
+
+def test_vertex_zero_alone(spark):
+    g = graph(spark, [(0, 0)], None)
+    assert [r.id for r in g.vertices.collect()] == [0] and labels(scc(g)) == [0]
+    assert graph(spark, [], None).vertices.count() == 0
+
+
+def test_one_direction_and_onward_trims(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (5, 5)], 7)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    for limit in (500_000, 0):
+        assert ids(trim.trim_exhaustive(g, local_edges=limit, sides=("in",))) == [0, 6]
+        assert ids(trim.trim_exhaustive(g, local_edges=limit, sides=("out",))) == [3, 4, 6]
+        assert ids(trim.trim_onward(g, trim.trim_first(g), local_edges=limit)) == [3]
+
+
+def test_sequential_stage_is_guarded(spark, tiny):
+    with pytest.raises(ValueError):
+        tarjan.tarjan(tiny, most_edges=5)
+
+
+def test_long_chain_in_the_color_kernel():
+    n = 50_000
+    label, decided = kernels.color(np.arange(n - 1), np.arange(1, n), np.arange(n), True)
+    assert (label == 0).all() and decided.sum() == 1
+
+
 def test_stage_counts_add_up(tiny):
     rows = stage_stats(tiny, "peel_rounds", residual_edges=0).collect()
     assert sum(r.decided for r in rows) == 7 and rows[-1].undecided_after == 0 and rows[-1].live_edges_after == 0
