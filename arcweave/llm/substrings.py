@@ -39,10 +39,10 @@ WIDTH = 100
 GRAM = 16
 GROUP = 8192  # pieces to a group
 KEY_LIMIT = 32_768  # pieces of one key that may stay in a group
-_CHUNK = 1 << 20
+_CHUNK = 1 << 15  # bytes whose arrays stay in a core's cache
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)  # seeds of the two digests
-_LEVEL = 9  # of the compression in which whole texts travel
+_LEVEL = 3  # of the compression in which whole texts travel
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,28 +59,41 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def _hashes(raw: np.ndarray, width: int, seed: np.uint64) -> np.ndarray:
-    """One 64-bit hash per ``width``-byte stretch (8 at least), by doubling; every step mixes, so equal sums do not make equal hashes."""
-    if len(raw) < width:
+def _grams(raw: np.ndarray, gram: int, seed: np.uint64 = _M1) -> np.ndarray:
+    """One 64-bit hash per ``gram`` bytes (8 to 16)."""
+    if len(raw) < gram:
         return np.zeros(0, np.uint64)
-    h, have = _mix((np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)) ^ seed) * _M1 + seed), 8
-    while have < width:
+    word = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    return _mix((word[: len(raw) - gram + 1] * _M1) ^ _mix(word[gram - 8 :] * _M3 + seed))
+
+
+def _hashes(raw: np.ndarray, width: int, gram: int, seed: np.uint64) -> np.ndarray:
+    """One 64-bit hash per ``width`` bytes, by doubling; every step mixes, so equal sums do not make equal hashes."""
+    h, have = _grams(raw, gram, seed), gram
+    while have < width and len(h):
         step = min(have, width - have)
-        h = _mix(h[:-step] * _M1 + _mix(h[step:] + seed) * _M3)
+        h = _mix(h[:-step] * _M1 + h[step:])
         have += step
     return h
 
 
-def _run_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the text of each run, from the hashes ``h`` of the stretches that cover it in turn."""
-    out = _mix(h[a] + (b - a).astype(np.uint64) * _M3)
+def _run_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Hash of the text of each run (window starts a to b), from the gram hashes ``h`` of stretches that cover it in turn."""
+
+    def window(at: np.ndarray) -> np.ndarray:
+        out = h[at]
+        for k in (*range(gram, width - gram, gram), width - gram):
+            out = _mix(out * _M1 + h[at + k])
+        return out
+
+    out = _mix(window(a) + (b - a).astype(np.uint64) * _M3)
     at = a + width
     open_ = np.flatnonzero(at < b)
     while len(open_):
-        out[open_] = _mix(out[open_] * _M1 + h[at[open_]])
+        out[open_] = _mix(out[open_] * _M1 + window(at[open_]))
         at[open_] += width
         open_ = open_[at[open_] < b[open_]]
-    return _mix(out * _M1 + h[b])
+    return _mix(out * _M1 + window(b))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -96,8 +109,7 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, width: int, gram: int):
     ends = np.cumsum(lengths)
     begins = ends - lengths
     raw = np.ascontiguousarray(data)
-    word = np.ndarray((n - 7,), "<u8", raw, 0, (1,))
-    h = _mix((word[: n - gram + 1] * _M1) ^ _mix(word[gram - 8 : n - 7] * _M3 + _M1))
+    h = _grams(raw, gram)
     per = width - gram + 1
     least = _sliding(h, per, True)  # one value per window start
     doc = np.repeat(np.arange(len(lengths)), np.maximum(lengths - width + 1, 0))
@@ -110,7 +122,7 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, width: int, gram: int):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     a, b = starts[first], starts[last]
-    text_hash = _run_hashes(_hashes(raw, width, _S1), a, b, width)
+    text_hash = _run_hashes(h, a, b, width, gram)
     # values whose gram occurs twice close by may make a run overlap itself
     anchors = np.flatnonzero(h[: len(least) + per - 1] == _sliding(np.concatenate([np.zeros(per - 1, np.uint64), least, np.zeros(per - 1, np.uint64)]), per, False))
     close = (h[anchors[1:]] == h[anchors[:-1]]) & (np.diff(anchors) <= per)
@@ -171,8 +183,7 @@ def _pieces_of(data: np.ndarray, runs: list, width: int, gram: int):
     for r in runs:
         a, b = r["a"], r["b"]
         part = raw[a : b + width]
-        word = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,))
-        h = _mix((word[: len(part) - gram + 1] * _M1) ^ _mix(word[gram - 8 :] * _M3 + _M1))
+        h = _grams(part, gram)
         at = a + np.flatnonzero(h.view(np.int64) == r["h"])
         s = a
         while s <= b:
@@ -209,12 +220,18 @@ def _piece_rows(width: int, gram: int):
 
 def _windows_of(uid, tag, a, pieces: list[bytes], width: int):
     """All windows of some pieces: two digests, document, start."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
     n = np.array([len(p) for p in pieces], np.int64)
     k = n - width + 1
-    inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    lo = np.repeat(np.cumsum(n) - n, k) + inner
-    w1, w2 = (_hashes(data, width, seed)[lo] for seed in (_S1, _S2))
+    w1, w2 = np.empty(int(k.sum()), np.uint64), np.empty(int(k.sum()), np.uint64)
+    at = 0
+    for i, j in _chunks(pieces):
+        data = np.frombuffer(b"".join(pieces[i:j]), np.uint8)
+        begin = np.repeat(np.cumsum(n[i:j]) - n[i:j] - np.cumsum(k[i:j]) + k[i:j], k[i:j])
+        lo = begin + np.arange(len(begin))
+        for out, seed in ((w1, _S1), (w2, _S2)):
+            out[at : at + len(lo)] = _hashes(data, width, GRAM, seed)[lo]
+        at += len(lo)
+    inner = np.arange(at) - np.repeat(np.cumsum(k) - k, k)
     return w1, w2, np.repeat(uid, k), np.repeat(tag, k), np.repeat(a, k).astype(np.int64) + inner
 
 

@@ -365,7 +365,7 @@ def test_repeats_of_texts_that_polynomials_confuse(spark):
     for limit in (substrings.KEY_LIMIT, 2):
         found = substrings.removed(d, key_limit=limit).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_repeats(rows, 100)
-    assert len(set(substrings._hashes(np.frombuffer((a + b).encode(), np.uint8), 1024, substrings._S1)[[0, 1024]].tolist())) == 2
+    assert len(set(substrings._hashes(np.frombuffer((a + b).encode(), np.uint8), 1024, 16, substrings._S1)[[0, 1024]].tolist())) == 2
 
 
 def test_repeated_rows_keep_what_occurs_nowhere_else(spark):
