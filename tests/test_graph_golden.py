@@ -56,7 +56,7 @@ def test_pure_supersteps_give_the_components(tiny):
     assert labels(scc(tiny, "max_color", residual_edges=0, local_edges=0)) == [0, 1, 0, 1, 1, 5, 5]
 
 
-@pytest.mark.parametrize("plan", ["default", "peel_residual", "weak_split"])
+@pytest.mark.parametrize("plan", ["peel_residual", "weak_split"])
 def test_pure_supersteps_find_planted_components(spark, plan):
     truth, src, dst = generators.planted(60, 1.5, 7)
     g = graph(spark, list(zip(src.tolist(), dst.tolist(), strict=True)), 60).materialise()
