@@ -88,6 +88,13 @@ def test_sharding_moves_little_and_empty(spark):
     assert sharding.digest(docs_of(spark, [])).count() == 0
 
 
+def test_sharding_moves_little_as_registered(spark):
+    d = spark.range(20_000).select((F.col("id") * 7).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    a, b = (dict(sharding.assign(d, shards=n).select("doc_id", "shard").collect()) for n in (40, 41))
+    assert max(Counter(a.values()).values()) - min(Counter(a.values()).values()) <= 1
+    assert 1 / 41 <= sum(a[i] != b[i] for i in a) / len(a) < 0.1  # one forty-first would be the least
+
+
 # mixing
 
 
