@@ -237,7 +237,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
         return _search_all(c, q, k)
 
     keys = [*shard, "block"]
-    visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])  # names of their own beside the candidates'
+    # dealt by block too, or all blocks of a shard would follow it into one task; the visits get names of their own beside the candidates'
+    cands, visits = cands.repartition(*keys), visits.select(*[F.col(c).alias(c) for c in visits.columns]).repartition(*keys)
     found = found.unionByName(cands.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(away, _OUT))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best"))  # at most k rows per query and shard
