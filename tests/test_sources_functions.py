@@ -112,3 +112,21 @@ def test_metrics(tmp_path):
     m.write(str(tmp_path / "m.json"))
     tree = json.loads((tmp_path / "m.json").read_text())
     assert tree["0"]["benchmark"]["n"] == 3 and len(tree["0"]["benchmark"]["color"]) == 2 and tree["0"]["benchmark"]["duration"] > 0
+
+
+def test_result_files(spark, tmp_path):
+    from arcweave.sources.results import scan_results, scan_steps
+
+    def tree(seconds, decided):
+        m = Metrics()
+        m.root["scc"] = {"duration": int(seconds * 1e9), "pivot": 3, "trim": {"duration": 10**9, "decided_count": decided}, "color": [{"duration": 10**9, "decided_count": 4}, {"duration": 3 * 10**9, "decided_count": 4}]}
+        return m.root
+
+    files = {"weak_default_np2_gnm_16.json": {"0": tree(5, 1), "1": tree(7, 3)}, "strong_tarjan_np1_rmat.json": {"0": tree(601, 0)}, "notes.json": {"0": tree(1, 1)}, "weak_default_np2_gnm_16.txt": {}}
+    for name, content in files.items():
+        (tmp_path / name).write_text(json.dumps(content))
+    assert [tuple(r) for r in scan_results(spark, str(tmp_path)).collect()] == [("weak", "default", 2, "gnm_16", 7.0)]
+    assert scan_results(spark, str(tmp_path), 1000).count() == 2
+    rows = {(r.app, r.stage): (r.times, r.seconds, r.decided, r.per_second) for r in scan_steps(spark, str(tmp_path)).collect()}
+    assert rows[("default", "trim")] == (1, 1.0, 4, 4.0) and rows[("default", "color")] == (2, 4.0, 16, 4.0)
+    assert rows[("tarjan", "color")] == (2, 4.0, 8, 2.0)
