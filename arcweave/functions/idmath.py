@@ -67,5 +67,5 @@ def bytes_for(top: int) -> int:
 
 
 def bytes_for_column(top: Column) -> Column:
-    """``bytes_for`` on a non-negative column."""
-    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(top)) / 8)).cast("int")
+    """``bytes_for`` on a non-negative column; null for null."""
+    return F.ceil(F.length(F.bin(top)) / 8).cast("int")
